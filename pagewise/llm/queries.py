@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import nearcopies, toxicity
 from .shared import table
 
 
+def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that is a near copy, with the document of its group that stays."""
+    return nearcopies.groups(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, verdict and offending offsets of every document."""
     documents = table(spark, sf_dir, "documents")
@@ -17,7 +22,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_toxicity,)}
+    return {f.__name__: f for f in (op1_near_copies, op5_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
