@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nearcopies, toxicity
+from . import bpe, nearcopies, toxicity
 from .shared import table
 
 
@@ -15,6 +15,11 @@ def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of every document, and the text that decoding them gives back."""
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, verdict and offending offsets of every document."""
     documents = table(spark, sf_dir, "documents")
@@ -22,7 +27,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_copies, op5_toxicity)}
+    return {f.__name__: f for f in (op1_near_copies, op4_byte_bpe, op5_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
