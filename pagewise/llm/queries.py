@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, nearcopies, toxicity
+from . import bpe, leaks, lines, nearcopies, toxicity
 from .shared import table
 
 
@@ -26,9 +26,33 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item."""
+    return leaks.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that stay."""
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
+LINE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
+), n AS (
+  SELECT doc_id, pos, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS k FROM l WHERE trim(line) <> ''
+), d AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k > 1) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k = 1) AS kept FROM n GROUP BY doc_id
+)
+SELECT t.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN t.text ELSE coalesce(kept, '') END AS text,
+       CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed
+FROM documents t LEFT JOIN d ON t.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_copies, op4_byte_bpe, op5_toxicity)}
+    return {f.__name__: f for f in (op1_near_copies, op4_byte_bpe, op5_toxicity, op7_decontamination, op8_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": LINE_SQL}
