@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, leaks, lines, nearcopies, toxicity
+from . import bpe, leaks, lengths, lines, nearcopies, topk, toxicity
 from .shared import table
 
 
@@ -15,6 +16,11 @@ def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, truncated totals and quantiles of encoded lengths for the context limit of every length."""
+    return lengths.context_report(lengths.histogram(table(spark, sf_dir, "documents")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symbols of every document, and the text that decoding them gives back."""
     return bpe.encode(table(spark, sf_dir, "documents"))
@@ -36,6 +42,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest inner products of every vector with the others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (
+  SELECT a.vec_id, b.vec_id AS neighbour_id, list_inner_product(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour_id) AS k FROM p)
+SELECT vec_id, CAST(k AS INTEGER) AS rank, neighbour_id, round(s, 6) AS score FROM r WHERE k <= 10
+"""
+
 LINE_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
@@ -51,8 +69,8 @@ FROM documents t LEFT JOIN d ON t.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_copies, op4_byte_bpe, op5_toxicity, op7_decontamination, op8_line_dedup)}
+    return {f.__name__: f for f in (op1_near_copies, op2_token_counts, op4_byte_bpe, op5_toxicity, op7_decontamination, op8_line_dedup, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_SQL}
+    return {"op8_line_dedup": LINE_SQL, "op10_exact_top_k": TOP_K_SQL}
