@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, leaks, lengths, lines, nearcopies, topk, toxicity
-from .shared import table
+from . import bpe, leaks, lengths, lines, nearcopies, topk, toxicity, warc
+from .shared import scratch, table
 
 
 def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written into compressed archives with a dictionary and read back."""
+    pages, folder = table(spark, sf_dir, "pages"), scratch(spark, "warc")
+    warc.write_archives(pages, folder, warc.train_dictionary(pages)).collect()
+    return warc.pages(warc.read_archives(spark, folder))
+
+
+WARC_SQL = "SELECT page_id, url, html, CAST(strlen(html) AS BIGINT) AS content_length, true AS valid FROM pages"
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten largest inner products of every vector with the others."""
     return topk.top_k(table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
@@ -69,8 +79,8 @@ FROM documents t LEFT JOIN d ON t.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_copies, op2_token_counts, op4_byte_bpe, op5_toxicity, op7_decontamination, op8_line_dedup, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_near_copies, op2_token_counts, op4_byte_bpe, op5_toxicity, op7_decontamination, op8_line_dedup, op9_warc, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_SQL, "op10_exact_top_k": TOP_K_SQL}
+    return {"op8_line_dedup": LINE_SQL, "op9_warc": WARC_SQL, "op10_exact_top_k": TOP_K_SQL}
