@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, leaks, lengths, lines, nearcopies, topk, toxicity, warc
+from . import bpe, leaks, lengths, licences, lines, nearcopies, private, topk, toxicity, warc
 from .shared import scratch, table
 
 
@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_report(lengths.histogram(table(spark, sf_dir, "documents")))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that is taken for a licence notice."""
+    documents = table(spark, sf_dir, "documents")
+    return licences.scan(documents, licences.train(documents))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symbols of every document, and the text that decoding them gives back."""
     return bpe.encode(table(spark, sf_dir, "documents"))
@@ -32,6 +38,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of personal data."""
+    documents = table(spark, sf_dir, "documents")
+    return private.scan(documents, private.train(documents))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every overlap of a document with a benchmark item."""
     return leaks.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -79,7 +91,7 @@ FROM documents t LEFT JOIN d ON t.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_copies, op2_token_counts, op4_byte_bpe, op5_toxicity, op7_decontamination, op8_line_dedup, op9_warc, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_near_copies, op2_token_counts, op3_licence_scan, op4_byte_bpe, op5_toxicity, op6_private_data, op7_decontamination, op8_line_dedup, op9_warc, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
