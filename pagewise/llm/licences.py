@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .shared import release, sample_texts
 
 TEMPLATES: dict[str, list[str]] = {
     "agpl": ["This program is licensed under the GNU Affero General Public License version 3", "GNU Affero General Public License"],
@@ -182,8 +183,7 @@ def confirm(words: list[int], family: str) -> tuple[str, float]:
 
 def train(documents: DataFrame, sampled: int = SAMPLED_PARAGRAPHS, each: int = NOTICES, rounds: int = 60, seed: int = 7) -> Model:
     """Fits the classifier on notices and a bounded hash sample of the corpus's paragraphs."""
-    lines = documents.where("text is not null").select("text").orderBy(F.xxhash64("text")).limit(max(1, sampled // 10))
-    rows = [x for r in lines.collect() for x in r["text"].split("\n") if x.strip()][:sampled]
+    rows = [x for t in sample_texts(documents, "text", max(1, sampled // 10)) for x in t.split("\n") if x.strip()][:sampled]
     rng = np.random.default_rng(seed)
     fillers = sorted({w for x in rows[:2000] for w in x.split()[:20]}) or ["and"]
     made, kinds = notices(rng, fillers, each)
@@ -231,6 +231,7 @@ def train(documents: DataFrame, sampled: int = SAMPLED_PARAGRAPHS, each: int = N
     true = np.sort(top[y[held] > 0])
     noise = top[y[held] == 0]
     low, high = (float(true[int(0.01 * len(true))]) if len(true) else 0.5), float(noise.max()) if len(noise) else 0.0
+    release()
     return Model(weight, bias, temperature, float(np.clip((low + high) / 2, 0.5, 0.9)))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch
+from .shared import free_names, scratch
 from .textbatch import mix
 
 LINES_PER_SHARD = 1_000_000
@@ -91,7 +91,8 @@ class Cuckoo:
     def delete(self, keys: np.ndarray) -> None:
         """Takes off keys that were added."""
         mark, one, two = self._where(keys)
-        for at in (one, two):
+        for second in (False, True):
+            at = two if second else one
             todo = np.arange(len(mark))
             while len(todo):
                 _, k = np.unique(at[todo], return_index=True)
@@ -202,29 +203,31 @@ def _state(kind: int, shard: int, n: int, **columns: pa.Array) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(_NAMES, _TYPES)], schema=pa.schema(list(zip(_NAMES, _TYPES))))
 
 
-def _cleaned(documents: DataFrame, index: LineIndex) -> DataFrame:
-    """The documents with ``__text``, ``__lines`` and ``__kept``: the text that stays and the numbers of lines."""
-    did, rk = _row_key(documents)
-    keyed = documents.withColumns({"__did": did, "__rk": rk})
-    kept = index.owners().select(F.col("did").alias("__did"), F.col("rk").alias("__rk"), F.col("kept").alias("__pos"))
-    whole = F.split(documents["text"].cast("string"), "\n", -1)
-    joined = keyed.join(kept, ["__did", "__rk"], "left").withColumn("__all", whole)
-    joined = joined.withColumn("__lines", F.coalesce(F.size(F.filter("__all", lambda x: F.trim(x) != "")), F.lit(0)))
-    joined = joined.withColumn("__lines", F.greatest("__lines", F.lit(0))).withColumn("__kept", F.greatest(F.coalesce(F.size("__pos"), F.lit(0)), F.lit(0)))
-    text = F.when(F.col("__kept") == F.col("__lines"), documents["text"].cast("string")).otherwise(F.coalesce(F.expr("array_join(transform(__pos, p -> __all[p]), '\n')"), F.lit("")))
-    return joined.withColumn("__text", text).drop("__did", "__rk", "__pos", "__all")
+def _cleaned(documents: DataFrame, index: LineIndex) -> tuple[DataFrame, str, str, str]:
+    """The documents with three more columns: the text that stays and the numbers of lines and of those that stay."""
+    did, rk, pos, parts, n, kept, text = free_names(documents, "did", "rk", "pos", "parts", "n_lines", "n_kept", "cleaned")
+    keys = _row_key(documents)
+    keyed = documents.withColumns({did: keys[0], rk: keys[1]})
+    own = index.owners().select(F.col("did").alias(did), F.col("rk").alias(rk), F.col("kept").alias(pos))
+    joined = keyed.join(own, [did, rk], "left").withColumn(parts, F.split(F.col("text").cast("string"), "\n", -1))
+    joined = joined.withColumn(n, F.greatest(F.coalesce(F.size(F.filter(parts, lambda x: F.trim(x) != "")), F.lit(0)), F.lit(0)))
+    joined = joined.withColumn(kept, F.greatest(F.coalesce(F.size(pos), F.lit(0)), F.lit(0)))
+    rebuilt = F.coalesce(F.expr(f"array_join(transform(`{pos}`, p -> `{parts}`[p]), '\n')"), F.lit(""))
+    joined = joined.withColumn(text, F.when(F.col(kept) == F.col(n), F.col("text").cast("string")).otherwise(rebuilt))
+    return joined.drop(did, rk, pos, parts), text, n, kept
 
 
 def dedup(documents: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """``doc_id``, the ``text`` that stays, ``n_lines`` and ``n_removed``; the documents are inserted into the index."""
     index = (index or LineIndex.sized(documents)).insert(documents)
-    found = _cleaned(documents.select("doc_id", "text"), index)
-    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__text").alias("text"), F.col("__lines").alias("n_lines"), (F.col("__lines") - F.col("__kept")).alias("n_removed"))
+    found, text, n, kept = _cleaned(documents.select("doc_id", "text"), index)
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(n).alias("n_lines"), (F.col(n) - F.col(kept)).alias("n_removed"))
 
 
 def keep(documents: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """The documents with the lines that stay and all their columns; those that lose every line go."""
     index = (index or LineIndex.sized(documents)).insert(documents)
-    found = _cleaned(documents, index).where("__kept > 0 or __lines = 0")
-    size = {"n_chars": F.length("__text").cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
-    return found.withColumns({"text": F.col("__text"), **size}).select(*[F.col(f"`{c}`") for c in documents.columns])
+    found, text, n, kept = _cleaned(documents, index)
+    found = found.where((F.col(kept) > 0) | (F.col(n) == 0))
+    size = {"n_chars": F.length(text).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
+    return found.withColumns({"text": F.col(text), **size}).select(*[F.col(f"`{c}`") for c in documents.columns])

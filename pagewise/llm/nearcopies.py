@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .graph import components
-from .shared import cut, scratch
+from .shared import cut, free_names, scratch
 
 REGISTERS, ROWS, THRESHOLD = 128, 4, 0.5
 #: Candidate components of more documents than this are verified pair by pair in a join instead of in one task.
@@ -236,11 +236,12 @@ def keep_one(documents: DataFrame, found: DataFrame | None = None, **options) ->
 
     Rows without id stay.
     """
-    gone = (groups(documents, **options) if found is None else found).select(F.col("doc_id").alias("__gone"))
-    many = documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__many"))
-    kept = documents.join(gone, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
-    marked = kept.join(many, F.col("doc_id") == F.col("__many"), "left")
-    once = marked.where("__many is null").drop("__many")
+    out, twice, n = free_names(documents, "gone", "twice", "n")
+    gone = (groups(documents, **options) if found is None else found).select(F.col("doc_id").alias(out))
+    many = documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(n)).where(F.col(n) > 1).select(F.col("doc_id").alias(twice))
+    kept = documents.join(gone, documents["doc_id"].cast("bigint") == gone[out], "left_anti")
+    marked = kept.join(many, F.col("doc_id") == F.col(twice), "left")
+    once = marked.where(F.col(twice).isNull()).drop(twice)
     w = Window.partitionBy("doc_id", "text").orderBy(F.lit(1))
-    again = marked.where("__many is not null").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__many")
+    again = marked.where(F.col(twice).isNotNull()).withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n, twice)
     return once.unionByName(again)

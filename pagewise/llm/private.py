@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .shared import sample_texts
 
 SAMPLED_TEXTS, MADE, PRECISION = 300, 6000, 0.98
 SCHEMA = "doc_id bigint, start int, end int, kind string, text string, probability double"
@@ -233,9 +234,8 @@ def public_span(rng: np.random.Generator) -> tuple[str, str]:
 
 def train(documents: DataFrame, sampled: int = SAMPLED_TEXTS, made: int = MADE, seed: int = 11) -> Forest:
     """Fits the trees on made spans in sentences of a bounded hash sample of texts; without texts, in a few plain words."""
-    rows = documents.where("text is not null and text <> ''").orderBy(F.xxhash64("text")).limit(sampled).select(F.substring("text", 1, 4000).alias("t")).collect()
     rng = np.random.default_rng(seed)
-    words = [w for r in rows for w in r["t"].split() if not re.search(r"[\d@=:]", w)] or ["one", "of", "the", "words"]
+    words = [w for t in sample_texts(documents, "text", sampled) for w in t.split() if not re.search(r"[\d@=:]", w)] or ["one", "of", "the", "words"]
     x, y, kinds = [], [], []
     for i in range(made):
         kind = KINDS[i // 2 % len(KINDS)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -43,6 +46,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_hash(text) -> "F.Column":
-    """64 bits that tell apart rows of the same id; null texts count as their own value."""
-    return F.xxhash64(F.coalesce(text, F.lit("\u0000null")))
+def release() -> None:
+    """Gives freed memory of the driver back to the system, after a model was fitted."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the DataFrame does not have, in whatever case, made from some names."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def sample_texts(df: DataFrame, column: str, n: int) -> list[str]:
+    """At most about ``n`` texts of a column, those of least hash: copies of one text come together or not at all.
+
+    Tasks send hashes to the driver first, and then only the texts up to the n-th hash; null and empty ones never.
+    """
+    hashed = df.select(F.col(column).cast("string").alias("t")).where("t is not null and t <> ''").withColumn("h", F.xxhash64("t"))
+    least = hashed.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if least is None:
+        return []
+    return [r["t"] for r in hashed.where(F.col("h") <= least).dropDuplicates(["h"]).orderBy("h").collect()]

@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .shared import release
 
 BITS = 18
 SIZE = 1 << BITS
-MAX_TOXIC, MAX_CLEAN = 1000, 2000
+MAX_TOXIC, MAX_CLEAN = 600, 1200
 SCHEMA = "doc_id bigint, score double, toxic int, spans array<struct<start:int,end:int,marginal:double>>"
 _ARROW = pa.schema(
     [
@@ -149,10 +150,15 @@ def marginals(field: Field, w: tb.Words) -> np.ndarray:
     return x / (1.0 + x)
 
 
-def _document_max(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    out, some = np.zeros(len(offsets) - 1), np.diff(offsets) > 0
-    if len(p):
-        out[some] = np.maximum.reduceat(p, offsets[:-1][some])
+def document_scores(p: np.ndarray, w: tb.Words, least: float = 0.05) -> np.ndarray:
+    """The expected number of different toxic words of each row: of a word that repeats, the largest marginal counts."""
+    out = np.zeros(len(w.offsets) - 1)
+    at = np.flatnonzero(p >= least)
+    if len(at):
+        order = at[np.lexsort((-p[at], w.hashes[at], w.rows[at]))]
+        row, word = w.rows[order], w.hashes[order]
+        first = np.concatenate([[True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])])
+        np.add.at(out, row[first], p[order[first]])
     return out
 
 
@@ -213,7 +219,7 @@ def token_labels(f: np.ndarray, keys: np.ndarray, w: tb.Words, toxic: np.ndarray
     return found, strong
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5, decay: float = 1e-3) -> Field | None:
+def fit(texts: list[str], toxic: list[int], rounds: int = 100, rate: float = 0.5, decay: float = 1e-3) -> Field | None:
     """Fits the field by Adam on the log likelihood of the labelled tokens; None without both kinds of documents."""
     y_doc = np.array(toxic, bool)
     if not y_doc.any() or y_doc.all():
@@ -259,18 +265,18 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.5,
         theta[3 * SIZE] = 0.0
         theta[: 3 * SIZE + 1][mute] = np.minimum(theta[: 3 * SIZE + 1][mute], 0.0)
     field = Field(theta[: 3 * SIZE + 1].astype(np.float32), float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2).copy(), 0.5, known)
-    field.threshold = _threshold(_document_max(marginals(field, w), w.offsets), y_doc)
+    field.threshold = _threshold(document_scores(marginals(field, w), w), y_doc)
     return field
 
 
 def _threshold(score: np.ndarray, toxic: np.ndarray) -> float:
-    """The score of best F1 on the sample, between the two scores next to it, kept within 0.3 and 0.7."""
+    """The score of best F1 on the sample, between the two scores next to it, kept within 0.5 and 2."""
     order = np.argsort(-score, kind="stable")
     hit = np.cumsum(toxic[order])
     f1 = 2 * hit / (np.arange(1, len(order) + 1) + toxic.sum())
     k = int(np.argmax(f1))
     low = score[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float(np.clip((score[order[k]] + low) / 2, 0.3, 0.7))
+    return float(np.clip((score[order[k]] + low) / 2, 0.5, 2.0))
 
 
 def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field | None:
@@ -280,7 +286,10 @@ def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, m
     sample = part(1, max_toxic).unionByName(part(0, max_clean))
     rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    field = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    del rows
+    release()
+    return field
 
 
 def _spans(w: tb.Words, p: np.ndarray, least: float) -> tuple[np.ndarray, pa.Array]:
@@ -321,7 +330,7 @@ def score(documents: DataFrame, field: Field | None, span_marginal: float = 0.5)
             else:
                 w = tb.words(part.column("text"))
                 p = marginals(model, w)
-                top, limit = _document_max(p, w.offsets), model.threshold
+                top, limit = document_scores(p, w), model.threshold
                 count, spans = _spans(w, p, span_marginal)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), spans)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(top), pa.array((top >= limit).astype(np.int32) if model is not None else np.zeros(n, np.int32)), lists], schema=_ARROW)
@@ -338,7 +347,7 @@ def keep_clean(documents: DataFrame, field: Field | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tb.chunks(batches, "text"):
             w = tb.words(part.column("text"))
-            top = _document_max(marginals(shared.value, w), w.offsets)
+            top = document_scores(marginals(shared.value, w), w)
             kept = part.filter(pa.array(top < shared.value.threshold))
             if kept.num_rows:
                 yield kept

@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import sample_texts
+
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 RANGE_BYTES = 8 << 20
 DICTIONARY_BYTES, SAMPLED_PAGES = 64 << 10, 2000
@@ -136,9 +138,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, str | None]:
 
 def train_dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES, sampled: int = SAMPLED_PAGES) -> bytes:
     """A dictionary trained on a bounded sample of payloads; empty if there are too few to train one."""
-    rows = pages.where("html is not null").orderBy(F.xxhash64("html")).limit(sampled).select(F.substring("html", 1, 1 << 16).alias("html")).collect()
     try:
-        return zstandard.train_dictionary(size, [r["html"].encode() for r in rows]).as_bytes()
+        return zstandard.train_dictionary(size, [t.encode() for t in sample_texts(pages, "html", sampled)]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
