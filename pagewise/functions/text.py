@@ -101,21 +101,16 @@ def vocalisation(text: Column) -> Column:
     return F.when(ratio <= 0.01, "none").when(ratio < 0.35, "partial").when(ratio.isNotNull(), "full")
 
 
-@F.pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+def _in_form(form: str):
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
-
-@F.pandas_udf("string")
-def _form(s: pd.Series, form: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else unicodedata.normalize(f, x) for x, f in zip(s, form)])
+    return F.pandas_udf(run, "string")
 
 
 def unicode_form(text: Column, form: str | None = "NFC") -> Column:
-    """A Unicode normal form; ASCII texts skip the Python worker's work but not the pass (Spark has no such function)."""
-    if form is None:
-        return text
-    return _nfc(text) if form == "NFC" else _form(text, F.lit(form))
+    """A Unicode normal form, in an Arrow function: Spark has none."""
+    return text if form is None else _in_form(form)(text)
 
 
 @dataclass(frozen=True)

@@ -22,10 +22,10 @@ def moments(real: DataFrame, made: DataFrame, features: list[str]) -> DataFrame:
         *[F.coalesce(F.stddev_samp(side(s, F.col("v"))), F.lit(0.0)).alias(f"{s}_std") for s in ("real", "made")],
         *[F.count(side(s, F.col("v"))).alias(f"{s}_n") for s in ("real", "made")],
     )
-    stats = stats.withColumn("_", F.assert_true((F.col("real_n") > 0) & (F.col("made_n") > 0), "a side of the comparison is empty")).drop("_")
+    empty = F.raise_error(F.lit("a side of the comparison is empty")).cast("double")
     diff = F.col("made_mean") - F.col("real_mean")
     pooled = F.sqrt((F.col("real_std") ** 2 + F.col("made_std") ** 2) / 2)
-    d = F.when(pooled > 1e-9, diff / pooled).when(F.abs(diff) > 1e-9, F.signum(diff) * 10).otherwise(0.0)
+    d = F.when((F.col("real_n") == 0) | (F.col("made_n") == 0), empty).when(pooled > 1e-9, diff / pooled).when(F.abs(diff) > 1e-9, F.signum(diff) * 10).otherwise(0.0)
     relative = F.when(F.col("real_mean") != 0, diff / F.abs(F.col("real_mean"))).otherwise(0.0)
     return stats.withColumn("cohens_d", d).withColumn("relative", relative).withColumn("verdict", F.when(F.abs(d) < 0.2, "matched").when(F.abs(d) < 0.5, "close").otherwise("mismatched"))
 
