@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import annotations as an
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import compare, evaluation, layout, quality, sampling, stats
+from ..operators import compare, evaluation, imaging, layout, quality, sampling, stats
 from ..sources import sinks
 from ..streaming import stats as streaming
 
@@ -510,6 +510,42 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
+# pixels
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    boxes = F.transform(F.filter(an.page_lines(F.col("page")), lambda x: x["bbox"]["y1"] < 350), lambda x: x["bbox"])
+    return imaging.rasterize(pages.select(F.col("doc_id").alias("id"), F.lit(250).alias("width"), F.lit(350).alias("height"), boxes.alias("boxes")))
+
+
+@_query()
+def image_features(spark, sf_dir):
+    """Ten features of a small picture of every page; tests hold them against what they measure."""
+    return imaging.features(_rasters(spark, sf_dir))
+
+
+@_query()
+def image_gate(spark, sf_dir):
+    """Ink and contrast of degraded pictures of every page."""
+    return imaging.pixel_gate(imaging.degrade(_rasters(spark, sf_dir), "archive", seed=5))
+
+
+def _rotated_sql() -> str:
+    m, _, _ = imaging.rotation_map(1000, 1400, 3.0)
+    x = lambda px, py: f"({px} * {m[0][0]:.17g} + {py} * {m[0][1]:.17g} + {m[0][2]:.17g})"
+    y = lambda px, py: f"({px} * {m[1][0]:.17g} + {py} * {m[1][1]:.17g} + {m[1][2]:.17g})"
+    corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+    xs, ys = ", ".join(x(*c) for c in corners), ", ".join(y(*c) for c in corners)
+    return f"WITH b AS ({_BOXES}) SELECT l_orderkey, l_linenumber, round(least({xs}), 6) AS x0, round(least({ys}), 6) AS y0, round(greatest({xs}), 6) AS x1, round(greatest({ys}), 6) AS y1 FROM b"
+
+
+@_query(_rotated_sql())
+def rotated_boxes(spark, sf_dir):
+    m, _, _ = imaging.rotation_map(1000, 1400, 3.0)
+    return _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", imaging.map_box(F.col("box"), m)["bbox"].alias("b")).select("l_orderkey", "l_linenumber", *[F.round(F.col("b")[c], 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
