@@ -3,12 +3,13 @@
 Texts are cut into words by the usual pattern of byte-level vocabularies (contractions, letters, numbers, other
 signs, each with one space before it, and white space), vectorised over code points. A chunk of documents becomes
 one row: the byte arrays of its distinct words and, for each document, the places of its words among them. Spark
-folds the merges over every distinct word once: each step looks up the ranks of all neighbouring pairs, and the
-leftmost pair of least rank becomes one symbol. Documents are put together from their words' symbols, and decoding
-concatenates the pieces of a document's symbols, in the same row, so nothing is shuffled.
+folds the merges over every distinct word once: in each step the leftmost pair of least rank becomes one symbol,
+and the ranks of its two new pairs are looked up. Decoding concatenates the binary pieces of symbols. Documents are
+put together from their words' symbols and pieces in the same row, so no document is shuffled.
 
 Two kinds of words are not folded again in each chunk; they get the same symbols as the others. Words that are
-frequent in a hash sample of the documents are folded once and sent to all tasks, ``cached_words`` at most; which
+frequent in a hash sample of the documents are folded once, ``cached_words`` at most, and read by all tasks from
+the shared folder; which
 words these are has no effect on results. Words of more than ``LONG`` bytes, for which a fold over arrays would take
 quadratic time, are merged with a heap.
 
@@ -36,11 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .shared import release, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES, SLICE_BYTES = 3 << 20, 1 << 19
 CACHED_WORDS, SAMPLED = 1 << 19, 16
 LONG = 64
+_DONE = 1 << 30
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CLASSES: list[np.ndarray] = []
 _MULTIPLIER = 1_000_003
@@ -161,32 +164,67 @@ def _spread(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(start - edge[:-1], size) + np.arange(edge[-1])] if edge[-1] else flat[:0]
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch], limit: int, path: str, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-    """Chunks of documents as rows; a word is its bytes, or its symbols + 256 where they are known."""
+def _slices(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of some texts, nulls as empty: bytes, row offsets, word starts, word ends."""
+    batch = pa.RecordBatch.from_arrays([pc.fill_null(text, "").cast(pa.large_string())], names=["text"])
+    for part in tb.chunks([batch], "text", SLICE_BYTES):
+        data, off = tb.text_bytes(part.column(0))
+        starts = split_words(data, off)
+        yield data, off, starts, np.append(starts[1:], len(data)).astype(np.int64)
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch], limit: int, path: str, cache: str | None) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents as rows.
+
+    A word is an array of the symbols of its bytes with their places (see ``fold_sql``), or of its own symbols with
+    ``_DONE`` added where they are known.
+    """
+    ranks, known = load_ranks(path), load_cache(cache) if cache else None
+    symbol = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
     for part in tb.chunks(batches, "text", limit):
         text = part.column("text")
         null = text.is_null().to_numpy(zero_copy_only=False)
-        data, off = tb.text_bytes(pc.fill_null(text, "").cast(pa.large_string()))
-        starts = split_words(data, off)
-        ends = np.append(starts[1:], len(data)).astype(np.int64)
-        hashes, at, place = np.unique(tb.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        size = (ends - starts)[at]
-        long = np.flatnonzero(size > LONG)
-        done = [np.array(merge_long(data[starts[at[k]] : ends[at[k]]].tobytes(), load_ranks(path)), np.int32) + 256 for k in long]
-        pool = np.concatenate([data.astype(np.int32), *done]) if len(long) else data.astype(np.int32)
-        begin = starts[at]
-        size[long] = [len(x) for x in done]
-        begin[long] = len(data) + np.cumsum([0, *size[long]])[:-1]
-        if known is not None and len(known[0]) and len(hashes):
-            k = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
-            hit = known[0][k] == hashes
-            begin[hit] = len(pool) + known[1][k[hit]]
-            size[hit] = (known[1][1:] - known[1][:-1])[k[hit]]
-            pool = np.concatenate([pool, known[2]])
-        doc = pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, off).astype(np.int32)), pa.array(place.astype(np.int32)))
+        hashes, places, pools, sizes, counts, seen = [], [], [], [], [], 0
+        for data, off, starts, ends in _slices(text):
+            h, at, place = np.unique(tb.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            size = (ends - starts)[at]
+            hashes.append(h)
+            places.append((place + seen).astype(np.int32))
+            pools.append(_spread(data, starts[at], size))
+            sizes.append(size)
+            counts.append(np.diff(np.searchsorted(starts, off)))
+            seen += len(h)
+        h, at, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        pool, size = np.concatenate(pools), np.concatenate(sizes)
+        begin = (np.cumsum(size) - size)[at]
+        size = size[at]
+        places = place.astype(np.int32)[np.concatenate(places)]
+        del hashes, pools, sizes, place
+        fold = size <= LONG
+        spelled = [np.array(merge_long(pool[begin[k] : begin[k] + size[k]].tobytes(), ranks), np.int32) + _DONE for k in np.flatnonzero(~fold)]
+        extra = np.concatenate([np.empty(0, np.int32), *spelled])
+        begin[~fold], size[~fold] = np.cumsum([0, *map(len, spelled)])[:-1], list(map(len, spelled))
+        if known is not None and len(known[0]) and len(h):
+            k = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+            hit = (known[0][k] == h) & fold
+            size[hit] = known[1][k[hit] + 1] - known[1][k[hit]]
+            begin[hit] = len(extra) + np.cumsum(size[hit]) - size[hit]
+            fold &= ~hit
+            extra = np.concatenate([extra, _spread(known[2], known[1][k[hit]].astype(np.int64), size[hit]).astype(np.int32) + _DONE])
+        edge = np.concatenate([[0], np.cumsum(size)])
+        flat = np.empty(edge[-1], np.int32)
+        of_fold = np.repeat(fold, size)
+        flat[of_fold] = symbol[_spread(pool, begin[fold], size[fold])]
+        flat[of_fold] |= (np.arange(edge[-1]) - np.repeat(edge[:-1], size))[of_fold].astype(np.int32) << 16
+        flat[~of_fold] = _spread(extra, begin[~fold], size[~fold])
+        doc = _lists(np.concatenate(counts), places)
         doc = pc.if_else(pa.array(null), pa.scalar(None, doc.type), doc) if null.any() else doc
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        yield pa.RecordBatch.from_arrays([one(part.column("doc_id")), one(doc), one(_lists(size, _spread(pool, begin, size)))], names=["ids", "docs", "words"])
+        row = pa.RecordBatch.from_arrays([one(part.column("doc_id")), one(doc), one(_lists(size, flat))], names=["ids", "docs", "words"])
+        del text, data, off, starts, ends, h, at, places, pool, begin, size, extra, edge, flat, of_fold, doc, part
+        yield row
+        del row
+        release()  # workers share an executor's memory with a large heap
 
 
 #: Of a bigint of the folded state: the symbol in 16 bits, its place in 28, the rank of its pair with the next in 17.
@@ -198,18 +236,16 @@ _RANK = (
 
 
 def fold_sql(half: int, word: str = "w") -> str:
-    """The SQL of the symbols of a word's bytes; ``m.t`` and ``m.b`` are the rank map and the symbols of bytes.
+    """The SQL of the symbols of a word; ``m.t`` is the rank map.
+
+    A word is an array of the symbols of its bytes and, 16 bits higher, their places.
 
     The folded state has an integer for each symbol: the rank of its pair with the next, its place, the symbol. The
     least integer is the leftmost pair of least rank; a merge looks up two new pairs.
     """
     rank = _RANK.format(half=half, mul=_MULTIPLIER, less=half - 2)
     look = lambda left, right: f"element_at(transform(array(({left}) * 65536 | ({right})), k -> {rank}), 1)"
-    begin = (
-        f"zip_with(s0, slice(transform(zip_with(s0, slice(s0, 2, size(s0)), (a, b) -> a * 65536 | b), k -> {rank}), 1, size(s0)),"
-        " (a, r) -> shiftleft(r, 44) | a)"
-    )
-    begin = f"transform({begin}, (v, i) -> v | shiftleft(bigint(i), 16))"
+    begin = f"zip_with({word}, transform(zip_with({word}, slice({word}, 2, size({word})), (a, b) -> bigint(a & 65535) * 65536 | (b & 65535)), k -> {rank}), (v, r) -> shiftleft(r, 44) | v)"
     changed = (
         "case when i > p + 1 then v - 65536 when i < p - 1 then v "
         f"when i = p - 1 then shiftleft({look('v & 65535', 'q')}, 44) | (v & 17592186044415) "
@@ -219,77 +255,102 @@ def fold_sql(half: int, word: str = "w") -> str:
     merge = f"transform(array(int(shiftright(low, 16) & 268435455)), p -> transform(array(shiftright(low, 44)), q -> array_remove(transform(acc, (v, i) -> {changed}), -1L))[0])[0]"
     step = f"transform(array(array_min(acc)), low -> if(low >= {_NONE << 44}L, acc, {merge}))[0]"
     fold = f"aggregate(slice({word}, 2, size({word})), {begin}, (acc, x) -> {step}, acc -> transform(acc, v -> int(v & 65535)))"
-    return f"if({word}[0] >= 256, transform({word}, x -> x - 256), transform(array(transform({word}, x -> bigint(m.b[x]))), s0 -> {fold})[0])"
+    return f"if({word}[0] >= {_DONE}, transform({word}, v -> int(v & 65535)), {fold})"
 
 
 def _literals(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """One row: the rank map, the symbols of bytes, and the pieces of symbols, one character a byte."""
+    """One row: the rank map and the pieces of symbols, one character a byte."""
     ranks, (table, half) = load_ranks(path), rank_map(path)
     pieces = [""] * (max(ranks.values()) + 1)
     for p, r in ranks.items():
         pieces[r] = p.decode("latin-1")
-    row = {"table": pa.array([table.tolist()], pa.list_(pa.int64())), "bytes": pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int32())), "pieces": pa.array([pieces], pa.list_(pa.string()))}
+    row = {"table": pa.array([table.tolist()], pa.list_(pa.int64())), "pieces": pa.array([pieces], pa.list_(pa.string()))}
     return spark.createDataFrame(pa.table(row)), half
 
 
-def decode_sql(symbols: str) -> str:
-    """The SQL of the text of some symbols: their pieces, concatenated as bytes."""
-    return f"string(encode(array_join(transform({symbols}, s -> pieces[s]), ''), 'ISO-8859-1'))"
+def pieces_sql(symbols: str) -> str:
+    """The SQL of the bytes of some symbols, one character a byte: their pieces, concatenated."""
+    return f"array_join(transform({symbols}, s -> pieces[s]), '')"
+
+
+def bytes_sql(characters: str) -> str:
+    return f"encode({characters}, 'ISO-8859-1')"
 
 
 _CHUNK = "ids array<bigint>, docs array<array<int>>, words array<array<int>>"
-_FOLDED = "transform(array(named_struct('t', table, 'b', bytes)), m -> transform(words, w -> {}))[0]"
+_FOLDED = "transform(array(named_struct('t', table)), m -> transform(words, w -> {}))[0]"
 
 
-def frequent_words(documents: DataFrame, path: str = VOCABULARY, most: int = CACHED_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, ascending, and symbols of the words of at most ``LONG`` bytes that are most frequent in a sample."""
-    literals, half = _literals(documents.sparkSession, path)
-    sample = documents.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def cache_words(documents: DataFrame, path: str = VOCABULARY, most: int = CACHED_WORDS) -> str:
+    """Writes hashes and symbols of the words of at most ``LONG`` bytes that are most frequent in a sample; the folder."""
+    spark = documents.sparkSession
+    literals, half = _literals(spark, path)
+    sample = documents.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select(F.col("text").cast("string").alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.chunks(batches, "text", CHUNK_BYTES):
-            data, off = tb.text_bytes(pc.fill_null(part.column("text"), "").cast(pa.large_string()))
-            starts = split_words(data, off)
-            ends = np.append(starts[1:], len(data)).astype(np.int64)
+        for data, _, starts, ends in (x for batch in batches for x in _slices(batch.column("text"))):
             short = ends - starts <= LONG
             starts, ends = starts[short], ends[short]
             _, at, count = np.unique(tb.span_hashes(data, starts, ends), return_index=True, return_counts=True)
-            at, count = at[count > 1], count[count > 1]
             size = (ends - starts)[at]
             edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             flat = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(_spread(data, starts[at], size).tobytes())])
             yield pa.RecordBatch.from_arrays([flat, pa.array(count.astype(np.int64))], names=["word", "n"])
 
-    top = sample.mapInArrow(words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word").toArrow()
-    data, off = tb.text_bytes(top.column("word"))
-    hashes = tb.span_hashes(data, off[:-1], off[1:])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(path)
+        symbol = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        for batch in batches:
+            data, off = tb.text_bytes(batch.column("word"))
+            size = np.diff(off)
+            flat = symbol[data] | ((np.arange(len(data)) - np.repeat(off[:-1], size)) << 16).astype(np.int32)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([one(pa.array(tb.span_hashes(data, off[:-1], off[1:]).view(np.int64))), one(_lists(size, flat))], names=["ks", "words"])
+
+    top = sample.mapInArrow(words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
+    chunks = top.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(rows, "ks array<bigint>, words array<array<int>>")
+    folder = scratch(spark, "words")
+    done = chunks.crossJoin(F.broadcast(literals)).select(F.explode(F.expr(f"arrays_zip(ks, {_FOLDED.format(fold_sql(half))})")).alias("r"))
+    done.select(F.col("r").getField("ks").alias("k"), F.col("r").getField("1").alias("s")).write.parquet(folder)
+    return folder
+
+
+@lru_cache(maxsize=1)
+def load_cache(folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, ascending, edges and symbols of the cached words."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(folder)
+    files = [f.path for f in system.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet")]
+    t = pa.concat_tables([pq.read_table(f, filesystem=system) for f in files])
+    hashes = t["k"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    size = np.diff(off)[order]
-    if not len(hashes):
-        return np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int32)
-    rows = pa.table({"k": pa.array(np.arange(len(order))), "w": _lists(size, _spread(data.astype(np.int32), off[:-1][order], size))})
-    n = max(1, documents.sparkSession.sparkContext.defaultParallelism)
-    fold = documents.sparkSession.createDataFrame(rows).repartition(n).groupBy(F.spark_partition_id()).agg(F.collect_list("k").alias("ks"), F.collect_list("w").alias("words"))
-    done = fold.crossJoin(F.broadcast(literals)).select(F.explode(F.expr(f"arrays_zip(ks, {_FOLDED.format(fold_sql(half))})")).alias("r")).select("r.ks", F.col("r").getField("1").alias("s")).toArrow().sort_by("ks")
-    symbols = done.column("s").combine_chunks()
-    return hashes[order], np.concatenate([[0], np.cumsum(pc.list_value_length(symbols).to_numpy())]).astype(np.int64), symbols.flatten().to_numpy().astype(np.int32) + 256
+    lists = t["s"].combine_chunks()
+    first, size = lists.offsets.to_numpy()[:-1], pc.list_value_length(lists).to_numpy()
+    made = hashes[order], np.concatenate([[0], np.cumsum(size[order])]).astype(np.int32), _spread(lists.values.to_numpy().astype(np.uint16), first[order], size[order])
+    del t, lists, hashes, order, first, size
+    release()
+    return made
 
 
 def encode(documents: DataFrame, path: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES, cached_words: int = CACHED_WORDS) -> DataFrame:
     """``doc_id``, ``tokens``, ``n_tokens`` and ``decoded``, the text that decoding the tokens gives back."""
     spark = documents.sparkSession
     literals, half = _literals(spark, path)
-    known = spark.sparkContext.broadcast(frequent_words(documents, path, cached_words) if cached_words else None)
+    cache = cache_words(documents, path, cached_words) if cached_words else None
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = rows.mapInArrow(lambda batches: _chunk_rows(batches, chunk_bytes, path, known.value), _CHUNK)
-    symbols = f"transform(array({_FOLDED.format(fold_sql(half))}), ws -> transform(docs, d -> flatten(transform(d, i -> ws[i]))))[0]"
-    whole = f"transform(array({symbols}), t -> arrays_zip(ids, t, transform(t, one -> {decode_sql('one')})))[0]"
-    found = chunks.crossJoin(F.broadcast(literals)).select(F.explode(F.expr(whole)).alias("r"))
-    return found.select(F.col("r").getField("ids").alias("doc_id"), F.col("r").getField("t").alias("tokens"), F.expr("if(r.t is null, null, size(r.t))").alias("n_tokens"), F.col("r").getField("2").alias("decoded"))
+    chunks = rows.mapInArrow(lambda batches: _chunk_rows(batches, chunk_bytes, path, cache), _CHUNK)
+    folded = f"transform(array({_FOLDED.format(fold_sql(half))}), ws -> named_struct('s', ws, 't', transform(ws, w -> {pieces_sql('w')})))[0]"
+    tokens, texts = "transform(docs, d -> flatten(transform(d, i -> x.s[i])))", f"transform(docs, d -> {bytes_sql('array_join(transform(d, i -> x.t[i]), {})'.format(repr('')))})"
+    put = f"transform(array({folded}), x -> arrays_zip(ids, {tokens}, {texts}))[0]"
+    found = chunks.crossJoin(F.broadcast(literals)).select(F.explode(F.expr(put)).alias("r"))
+    r = F.col("r")
+    return found.select(r.getField("ids").alias("doc_id"), r.getField("1").alias("tokens"), F.expr("if(r.`1` is null, null, size(r.`1`))").alias("n_tokens"), r.getField("2").cast("string").alias("decoded"))
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id`` and ``text`` of rows of ``doc_id`` and ``tokens``."""
     literals, _ = _literals(tokens.sparkSession, path)
     one = tokens.select("doc_id", "tokens").crossJoin(F.broadcast(literals))
-    return one.select("doc_id", F.expr(decode_sql("tokens")).alias("text"))
+    return one.select("doc_id", F.expr(bytes_sql(pieces_sql("tokens"))).cast("string").alias("text"))

@@ -47,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Gives freed memory of the driver back to the system, after a model was fitted."""
+    """Gives freed memory of this process back to the system."""
     import pyarrow as pa
 
     gc.collect()

@@ -33,7 +33,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, CHUNK_BYTES // 4 + 1)
         up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
         up[0] = down[0] = 1
         up[1:], down[1:] = _BASE, _INVERSE
