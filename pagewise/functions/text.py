@@ -178,3 +178,14 @@ def font_family(file_name: Column) -> Column:
     """The stem of a font file up to a bracket, hyphen or underscore."""
     stem = F.regexp_replace(F.regexp_replace(file_name, r"^.*/", ""), r"\.[^.]*$", "")
     return F.regexp_extract(stem, r"^[^\[\-_]*", 0)
+
+
+_WEIGHTS = ("thin", "extralight", "light", "regular", "medium", "semibold", "bold", "extrabold", "black")
+
+
+def weight_rank(file_name: Column) -> Column:
+    """The rank of the first weight whose name a font file holds, in that order; regular where there is none."""
+    name, out = F.lower(file_name), F.lit(_WEIGHTS.index("regular"))
+    for rank in reversed(range(len(_WEIGHTS))):
+        out = F.when(F.contains(name, F.lit(_WEIGHTS[rank])), rank).otherwise(out)
+    return out

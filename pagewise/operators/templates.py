@@ -1,0 +1,70 @@
+"""Document genres: recipes of blocks over the sentences of a source, as arrays of structs.
+
+Every draw is a hash of (seed, index, block), so a document is the same on any cluster. ``documents`` needs a row for
+each index with the sentences of its source in an array; a row without sentences has no blocks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import tokens, uniform
+from . import sampling
+
+#: Block types of each genre: p a paragraph, h a heading, t the title, k a key and value, l a list item, q a quote.
+RECIPES = {
+    "article": "t p h p p q h p p",
+    "report": "t h p p h p l l l h p",
+    "letter": "k p p p k",
+    "form": "t k k k k k k",
+    "invoice": "t k k k k p",
+    "paper": "t h p h p p h p p h p",
+    "newspaper": "t p p p h p p p h p p",
+    "contents": "t l l l l l l",
+    "slide": "t l l l",
+    "notes": "h l l p l l",
+}
+WEIGHTS = {"article": 3.0, "report": 2.0, "newspaper": 1.5, "paper": 1.5, "letter": 1.0, "form": 1.0, "invoice": 1.0, "contents": 0.8, "slide": 0.8, "notes": 1.0}
+_TYPES = {"t": "title", "h": "heading", "p": "paragraph", "k": "key_value", "l": "list", "q": "quote"}
+
+
+def _sentence(sentences: Column, seed: Column, index: Column, *part: str) -> Column:
+    at = F.floor(uniform(seed, index, *[F.lit(p) for p in part]) * F.size(sentences)).cast("int")
+    return F.get(sentences, at)
+
+
+def _block(kind: str, number: int, sentences: Column, seed: Column, index: Column) -> Column:
+    pick = lambda name: _sentence(sentences, seed, index, str(number), name)
+    if kind in "th":
+        text = F.regexp_replace(F.array_join(F.slice(tokens(pick("title")), 1, sampling.integer(uniform(seed, index, F.lit(f"{number}-n")), 2, 7)), " "), r"[.،,;:]+$", "")
+    elif kind == "k":
+        key = F.array_join(F.slice(tokens(pick("key")), 1, 2), " ")
+        text = F.concat(key, F.lit(": "), F.when(uniform(seed, index, F.lit(f"{number}-v")) < 0.5, sampling.date_field(seed, index)).otherwise(sampling.amount_field(seed, index)))
+    elif kind == "p":
+        n = sampling.integer(uniform(seed, index, F.lit(f"{number}-n")), 2, 5)
+        text = F.array_join(F.slice(F.array(*[pick(f"s{i}") for i in range(5)]), 1, n), " ")
+    else:
+        text = pick("s")
+    return F.struct(F.lit(_TYPES[kind]).alias("type"), text.alias("text"))
+
+
+def choose(seed: Column, index: Column, weights: dict[str, float] | None = None) -> Column:
+    """The genre of a document, by weight."""
+    known = {k: w for k, w in (weights or WEIGHTS).items() if k in RECIPES}
+    return sampling.weighted_choice(uniform(seed, index, F.lit("template")), known)
+
+
+def documents(sources: DataFrame, seed: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """``index``, ``template``, ``blocks`` for rows of ``index`` and ``sentences``."""
+    s, i, text = F.lit(seed), F.col("index"), F.col("sentences")
+    blocks = F.lit(None)
+    for name, recipe in RECIPES.items():
+        made = F.array(*[_block(kind, n, text, s, i) for n, kind in enumerate(recipe.split())])
+        blocks = F.when(F.col("template") == name, made).otherwise(blocks)
+    empty = F.array().cast("array<struct<type:string,text:string>>")
+    return sources.withColumn("template", choose(s, i, weights)).select("index", "template", F.when(F.size(text) > 0, blocks).otherwise(empty).alias("blocks"))
+
+
+def plain_text(blocks: Column) -> Column:
+    return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import annotations as an
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import compare, evaluation, imaging, layout, quality, sampling, stats
+from ..operators import compare, evaluation, imaging, layout, quality, sampling, stats, templates
 from ..sources import sinks
 from ..streaming import stats as streaming
 
@@ -546,6 +546,14 @@ def rotated_boxes(spark, sf_dir):
     return _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", imaging.map_box(F.col("box"), m)["bbox"].alias("b")).select("l_orderkey", "l_linenumber", *[F.round(F.col("b")[c], 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+@_query()
+def template_documents(spark, sf_dir):
+    """A document of one of ten genres from the sentences of each source text; tests hold it against the recipes."""
+    sources = _documents(spark, sf_dir).select(F.col("doc_id").alias("index"), t.sentences(F.col("t")).alias("sentences"))
+    made = templates.documents(sources, 21)
+    return made.select("index", "template", F.size("blocks").alias("n_blocks"), templates.plain_text(F.col("blocks")).alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
