@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, leaks, lengths, licences, lines, nearcopies, private, topk, toxicity, warc
-from .shared import scratch, table
+from .shared import cut, scratch, table
 
 
 def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, truncated totals and quantiles of encoded lengths for the context limit of every length."""
-    return lengths.context_report(lengths.histogram(table(spark, sf_dir, "documents")))
+    return lengths.context_report(cut(lengths.histogram(table(spark, sf_dir, "documents"))))
 
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
