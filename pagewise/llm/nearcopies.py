@@ -31,7 +31,7 @@ from .shared import cut, free_names, scratch
 
 REGISTERS, ROWS, THRESHOLD = 128, 4, 0.5
 #: Candidate components of more documents than this are verified pair by pair in a join instead of in one task.
-LOCAL_DOCS = 50_000
+LOCAL_DOCS = 10_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
