@@ -6,6 +6,7 @@ import copy
 import json
 from collections.abc import Iterable, Mapping
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +62,7 @@ def provider(spark: SparkSession, kind: str, path: str | None, fallback: list[st
         df = open_source(spark, kind, path, **options).select("content")
         df = df if limit is None else df.limit(limit)
         empty = df.isEmpty()
-    except Exception as e:  # noqa: BLE001  any reader's failure means that the source is out of reach
-        if isinstance(e, ValueError):
-            raise
+    except (PySparkException, OSError):  # the source is out of reach
         empty = True
     return inline(spark, fallback).select("content") if empty else df.select(normalize(F.col("content"), policy).alias("content"))
 
