@@ -43,7 +43,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK_BYTES, SLICE_BYTES = 3 << 20, 1 << 19
 CACHED_WORDS, SAMPLED = 1 << 19, 16
 LONG = 64
-_DONE = 1 << 30
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CLASSES: list[np.ndarray] = []
 _MULTIPLIER = 1_000_003
@@ -176,8 +175,8 @@ def _slices(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 def _chunk_rows(batches: Iterator[pa.RecordBatch], limit: int, path: str, cache: str | None) -> Iterator[pa.RecordBatch]:
     """Chunks of documents as rows.
 
-    A word is an array of the symbols of its bytes with their places (see ``fold_sql``), or of its own symbols with
-    ``_DONE`` added where they are known.
+    ``known`` has words as arrays of their own symbols, ``words`` those to fold, as arrays of the symbols of their
+    bytes with their places (see ``fold_sql``); places of words in documents run through the one and then the other.
     """
     ranks, known = load_ranks(path), load_cache(cache) if cache else None
     symbol = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
@@ -201,7 +200,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], limit: int, path: str, cache:
         places = place.astype(np.int32)[np.concatenate(places)]
         del hashes, pools, sizes, place
         fold = size <= LONG
-        spelled = [np.array(merge_long(pool[begin[k] : begin[k] + size[k]].tobytes(), ranks), np.int32) + _DONE for k in np.flatnonzero(~fold)]
+        spelled = [np.array(merge_long(pool[begin[k] : begin[k] + size[k]].tobytes(), ranks), np.int32) for k in np.flatnonzero(~fold)]
         extra = np.concatenate([np.empty(0, np.int32), *spelled])
         begin[~fold], size[~fold] = np.cumsum([0, *map(len, spelled)])[:-1], list(map(len, spelled))
         if known is not None and len(known[0]) and len(h):
@@ -210,21 +209,21 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], limit: int, path: str, cache:
             size[hit] = known[1][k[hit] + 1] - known[1][k[hit]]
             begin[hit] = len(extra) + np.cumsum(size[hit]) - size[hit]
             fold &= ~hit
-            extra = np.concatenate([extra, _spread(known[2], known[1][k[hit]].astype(np.int64), size[hit]).astype(np.int32) + _DONE])
-        edge = np.concatenate([[0], np.cumsum(size)])
-        flat = np.empty(edge[-1], np.int32)
-        of_fold = np.repeat(fold, size)
-        flat[of_fold] = symbol[_spread(pool, begin[fold], size[fold])]
-        flat[of_fold] |= (np.arange(edge[-1]) - np.repeat(edge[:-1], size))[of_fold].astype(np.int32) << 16
-        flat[~of_fold] = _spread(extra, begin[~fold], size[~fold])
-        doc = _lists(np.concatenate(counts), places)
+            extra = np.concatenate([extra, _spread(known[2], known[1][k[hit]].astype(np.int64), size[hit]).astype(np.int32)])
+        whole, parts = np.flatnonzero(~fold), np.flatnonzero(fold)
+        moved = np.empty(len(h), np.int32)
+        moved[whole], moved[parts] = np.arange(len(whole)), len(whole) + np.arange(len(parts))
+        n = size[parts]
+        flat = symbol[_spread(pool, begin[parts], n)]
+        flat |= (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32) << 16
+        doc = _lists(np.concatenate(counts), moved[places])
         doc = pc.if_else(pa.array(null), pa.scalar(None, doc.type), doc) if null.any() else doc
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        row = pa.RecordBatch.from_arrays([one(part.column("doc_id")), one(doc), one(_lists(size, flat))], names=["ids", "docs", "words"])
-        del text, data, off, starts, ends, h, at, places, pool, begin, size, extra, edge, flat, of_fold, doc, part
+        row = pa.RecordBatch.from_arrays([one(part.column("doc_id")), one(doc), one(_lists(size[whole], _spread(extra, begin[whole], size[whole]))), one(_lists(n, flat))], names=["ids", "docs", "known", "words"])
+        del text, data, off, starts, ends, h, at, places, pool, begin, size, extra, flat, doc, part, moved, whole, parts, n, fold
         yield row
         del row
-        release()  # workers share an executor's memory with a large heap
+        release(collect=False)  # workers share an executor's memory with a large heap
 
 
 #: Of a bigint of the folded state: the symbol in 16 bits, its place in 28, the rank of its pair with the next in 17.
@@ -255,7 +254,7 @@ def fold_sql(half: int, word: str = "w") -> str:
     merge = f"transform(array(int(shiftright(low, 16) & 268435455)), p -> transform(array(shiftright(low, 44)), q -> array_remove(transform(acc, (v, i) -> {changed}), -1L))[0])[0]"
     step = f"transform(array(array_min(acc)), low -> if(low >= {_NONE << 44}L, acc, {merge}))[0]"
     fold = f"aggregate(slice({word}, 2, size({word})), {begin}, (acc, x) -> {step}, acc -> transform(acc, v -> int(v & 65535)))"
-    return f"if({word}[0] >= {_DONE}, transform({word}, v -> int(v & 65535)), {fold})"
+    return fold
 
 
 def _literals(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -277,7 +276,7 @@ def bytes_sql(characters: str) -> str:
     return f"encode({characters}, 'ISO-8859-1')"
 
 
-_CHUNK = "ids array<bigint>, docs array<array<int>>, words array<array<int>>"
+_CHUNK = "ids array<bigint>, docs array<array<int>>, known array<array<int>>, words array<array<int>>"
 _FOLDED = "transform(array(named_struct('t', table)), m -> transform(words, w -> {}))[0]"
 
 
@@ -341,7 +340,7 @@ def encode(documents: DataFrame, path: str = VOCABULARY, chunk_bytes: int = CHUN
     cache = cache_words(documents, path, cached_words) if cached_words else None
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = rows.mapInArrow(lambda batches: _chunk_rows(batches, chunk_bytes, path, cache), _CHUNK)
-    folded = f"transform(array({_FOLDED.format(fold_sql(half))}), ws -> named_struct('s', ws, 't', transform(ws, w -> {pieces_sql('w')})))[0]"
+    folded = f"transform(array(concat(known, {_FOLDED.format(fold_sql(half))})), ws -> named_struct('s', ws, 't', transform(ws, w -> {pieces_sql('w')})))[0]"
     tokens, texts = "transform(docs, d -> flatten(transform(d, i -> x.s[i])))", f"transform(docs, d -> {bytes_sql('array_join(transform(d, i -> x.t[i]), {})'.format(repr('')))})"
     put = f"transform(array({folded}), x -> arrays_zip(ids, {tokens}, {texts}))[0]"
     found = chunks.crossJoin(F.broadcast(literals)).select(F.explode(F.expr(put)).alias("r"))

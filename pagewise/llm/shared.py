@@ -46,11 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release() -> None:
+def release(collect: bool = True) -> None:
     """Gives freed memory of this process back to the system."""
     import pyarrow as pa
 
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
