@@ -7,10 +7,13 @@ triple. A triple of weight w takes the points below height w, so a register's fi
 documents with a probability that is their weighted Jaccard similarity. Processes are followed up to the time at
 which all registers are expected to be filled, and further where one is empty.
 
-Banded signatures link the documents of a bucket to its least id and to their neighbour in it; linked documents
-are compared by the exact multiset Jaccard similarity of their triples. Groups are the connected components of
-the pairs that reach ``threshold``; the least id of a group is the document that stays. Documents with equal
-multisets are grouped by a 128-bit sum of hashes first, so groups of exact copies of any size cost one row each.
+Banded signatures link the documents of a bucket to its least id and to their neighbour in it, so that a bucket lies
+in one candidate component. Linked documents are compared first, by the exact multiset Jaccard similarity of their
+triples; then every other pair of the component that can reach ``threshold`` and is not yet in one group. Which
+can is decided exactly, by their sizes and the rarest triples of each, so a passage that many documents share makes
+no pairs by itself. Groups are the connected components of the pairs that reach ``threshold``; the least id of
+a group is the document that stays. Documents with equal multisets are grouped by a 128-bit sum of hashes first,
+so groups of exact copies of any size cost one row each.
 
 Defined results: null ids, null texts and texts without words are in no group; rows that share an id are one
 document, which is near whatever one of its texts is near; ties go to the least id; extra columns play no part.
@@ -18,7 +21,7 @@ document, which is near whatever one of its texts is near; ties go to the least
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from .shared import cut, free_names, scratch
 REGISTERS, ROWS, THRESHOLD = 128, 4, 0.5
 #: Candidate components of more documents than this are verified pair by pair in a join instead of in one task.
 LOCAL_DOCS = 10_000
+#: Up to so many texts of a component are compared without looking for shared triples; so many pairs are made at once.
+_FEW, _PAIRS = 16, 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -143,6 +148,54 @@ def _multisets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(triple[a:b], count[a:b]) for a, b in zip(edge[:-1], edge[1:])]
 
 
+def _expand(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of some multisets, and their elements one after the other: the k-th copy of a triple is an element of its own."""
+    size = np.array([c.sum() for _, c in sets], np.int64)
+    count = np.concatenate([c for _, c in sets]).astype(np.int64)
+    copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return size, (np.repeat(np.concatenate([x for x, _ in sets]), count) << np.uint64(24)) + copy.astype(np.uint64)
+
+
+def _able(sets: list[tuple[np.ndarray, np.ndarray]], roots: Callable[[], np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
+    """The pairs of different roots that can reach the threshold t, each once; roots are asked for again as pairs are made.
+
+    Where x is the smaller of two texts that reach it, they share an element that is among the rarest
+    n - 2tn / (1 + t) + 1 of the n of x and the rarest n - tn + 1 of the n of y, rarest in one order for all.
+    """
+    n, (size, element) = len(sets), _expand(sets)
+    if n <= _FEW:
+        group = roots()
+        yield from ((i, j) for j in range(n) for i in range(j) if group[i] != group[j] and min(size[i], size[j]) >= threshold * max(size[i], size[j]) - 1e-6)
+        return
+    row = np.repeat(np.arange(n), size)
+    _, token, many = np.unique(element, return_inverse=True, return_counts=True)
+    order = np.lexsort((token, many[token], row))
+    token = token[order]
+    place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+    group, low, high = roots(), np.full(len(many), np.iinfo(np.int64).max), np.full(len(many), np.iinfo(np.int64).min)
+    np.minimum.at(low, token, group[row])
+    np.maximum.at(high, token, group[row])
+    differ = (low < high)[token]
+    known = np.flatnonzero(differ & (place <= (size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-6))[row]))
+    known = known[np.argsort(token[known], kind="stable")]
+    asked = np.flatnonzero(differ & (place <= (size - np.ceil(threshold * size - 1e-6))[row]))
+    left, right = np.searchsorted(token[known], token[asked], "left"), np.searchsorted(token[known], token[asked], "right")
+    end = np.cumsum(right - left)
+    k, before = 0, np.empty(0, np.int64)
+    while k < len(asked):
+        to = max(k + 1, int(np.searchsorted(end, (end[k - 1] if k else 0) + _PAIRS, "right")))
+        length = (right - left)[k:to]
+        x = row[known[np.repeat(left[k:to] - np.cumsum(length) + length, length) + np.arange(length.sum())]]
+        y = np.repeat(row[asked[k:to]], length)
+        group = roots()
+        ok = (group[x] != group[y]) & ((size[x] < size[y]) | ((size[x] == size[y]) & (x < y))) & (size[x] >= threshold * size[y] - 1e-6)
+        pairs = np.setdiff1d(y[ok] * n + x[ok], before)
+        yield from ((int(p % n), int(p // n)) for p in pairs)
+        before = np.concatenate([before, pairs])
+        before = before[before // n == row[asked[to - 1]]]
+        k = to
+
+
 def _verify_local(placed: DataFrame, threshold: float) -> DataFrame:
     """``doc_id``, ``root`` of the rows (comp, doc_id, text, partners); a component's rows lie together in one task."""
 
@@ -175,11 +228,19 @@ def _verify_local(placed: DataFrame, threshold: float) -> DataFrame:
                     x = up[x]
                 return x
 
+            tried = set()
             for b, others in zip(ids, partners):
                 for a in others:
                     x, y = find(a) if a in up else b, find(b)
-                    if a in up and x != y and any(similarity(sets[i], sets[j]) >= threshold for i in at[a] for j in at[b]):
-                        up[max(x, y)] = min(x, y)
+                    if a in up and x != y and (a, b) not in tried:
+                        tried.add((a, b))
+                        if any(similarity(sets[i], sets[j]) >= threshold for i in at[a] for j in at[b]):
+                            up[max(x, y)] = min(x, y)
+            for i, j in _able(sets, lambda: np.array([find(d) for d in ids]), threshold):  # noqa: B023
+                a, b = min(ids[i], ids[j]), max(ids[i], ids[j])
+                x, y = find(a), find(b)
+                if x != y and (a, b) not in tried and similarity(sets[i], sets[j]) >= threshold:
+                    up[max(x, y)] = min(x, y)
             for d in at:
                 if find(d) != d:
                     out[0].append(d)
@@ -206,6 +267,30 @@ def _verify_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
+def _able_pairs(texts: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a < b of documents of different roots that can reach the threshold, as ``_able`` has them; documents without a root are their own."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("root", pa.int64()), ("size", pa.int64()), ("e", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tb.chunks([batch], "text"):
+                size, element = _expand(_multisets(part.column("text")))
+                row = pa.array(np.repeat(np.arange(len(size)), size))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in ("doc_id", "tk", "root")), pa.array(size).take(row), pa.array(element.view(np.int64))], schema=schema)
+
+    rooted = texts.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    named = rooted.select("doc_id", F.xxhash64("text").alias("tk"), F.coalesce("root", "doc_id").alias("root"), "text")
+    elements = named.mapInArrow(run, "doc_id bigint, tk bigint, root bigint, size bigint, e bigint")
+    shared = elements.groupBy("e").agg(F.count("*").alias("many"), (F.min("root") < F.max("root")).alias("differ")).where("many > 1")
+    w = Window.partitionBy("doc_id", "tk")
+    place = F.col("size") - F.count("*").over(w) + F.row_number().over(w.orderBy("many", "e")) - 1
+    asked = cut(elements.join(shared, "e").withColumn("place", place).where(F.col("differ") & (F.col("place") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-6))))
+    known = asked.where(F.col("place") <= F.col("size") - F.ceil(2 * threshold / (1 + threshold) * F.col("size") - 1e-6))
+    x, y = known.select("e", F.struct("size", "doc_id", "tk").alias("x"), F.col("root").alias("rx")), asked.select("e", F.struct("size", "doc_id", "tk").alias("y"), F.col("root").alias("ry"))
+    both = x.join(y, "e").where(F.col("x") < F.col("y")).where("rx <> ry").where(F.col("x.size") >= threshold * F.col("y.size") - 1e-6)
+    return both.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def groups(documents: DataFrame, threshold: float = THRESHOLD, registers: int = REGISTERS, rows: int = ROWS, local_docs: int = LOCAL_DOCS) -> DataFrame:
     """``doc_id``, ``kept_id`` for each document that goes; ``kept_id`` is the least id of its group, which stays."""
     spark = documents.sparkSession
@@ -226,7 +311,9 @@ def groups(documents: DataFrame, threshold: float = THRESHOLD, registers: int =
     large = cut(placed.where(F.col("size") > local_docs).select(F.col("node").alias("doc_id")))
     if not large.isEmpty():
         wide = pairs.join(large.withColumnRenamed("doc_id", "b"), "b", "left_semi")
-        linked = linked.unionByName(_verify_pairs(wide, text.join(large, "doc_id", "left_semi"), threshold))
+        texts = text.join(large, "doc_id", "left_semi")
+        near = cut(_verify_pairs(wide, texts, threshold))
+        linked = linked.unionByName(near).unionByName(_verify_pairs(_able_pairs(texts, components(near), threshold), texts, threshold))
     linked = cut(linked.unionByName(member))
     return components(linked).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
 

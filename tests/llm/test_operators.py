@@ -53,6 +53,35 @@ def test_near_copies_against_brute_force(spark):
     assert wide == found
 
 
+def test_near_copies_that_share_a_passage(spark):
+    passage = " ".join(f"hot{i}" for i in range(60))
+    own = lambda i, n: " ".join(f"own{i}x{j}" for j in range(n))
+    texts = [(i, f"{passage} {own(i, 46)}") for i in range(400)]
+    twins = [(k, 400 + k) for k in range(0, 400, 10)]
+    texts += [(b, f"{passage} {own(a, 13)} {own(b, 33)}") for a, b in twins]
+    sets = {i: nearcopies._multisets(pa.array([t]))[0] for i, t in texts}
+    assert all(0.5 <= nearcopies.similarity(sets[a], sets[b]) < 0.55 for a, b in twins) and nearcopies.similarity(sets[0], sets[1]) < 0.45
+    df = documents(spark, texts)
+    banded = {}
+    for r in nearcopies.sketch(df).select("doc_id", F.explode("bands").alias("band")).collect():
+        banded.setdefault(r.band, set()).add(r.doc_id)
+    met = {(b, a) for a, b in twins if any({a, b} <= m for m in banded.values())}
+    found = pairs(nearcopies.groups(df))
+    assert len(met) > 20 and met <= found <= {(b, a) for a, b in twins}
+    assert pairs(nearcopies.groups(df, local_docs=0)) == found
+
+
+def test_pairs_able_to_be_near_hold_all_that_are():
+    rng = np.random.default_rng(3)
+    for n in (12, 60):
+        texts = pa.array([" ".join(rng.choice(list("abcdef"), rng.integers(3, 40), p=[0.7, 0.1, 0.05, 0.05, 0.05, 0.05])) for _ in range(n)])
+        sets = nearcopies._multisets(texts)
+        for t in (0.3, 0.5, 0.8):
+            able = list(nearcopies._able(sets, lambda: np.arange(n), t))  # noqa: B023
+            assert len(able) == len(set(able))
+            assert {(i, j) for j in range(n) for i in range(j) if nearcopies.similarity(sets[i], sets[j]) >= t} <= {(min(p), max(p)) for p in able}
+
+
 def test_near_copies_hard_cases(spark):
     df = documents(spark, HARD)
     assert pairs(nearcopies.groups(df)) == {(6, 5)}
