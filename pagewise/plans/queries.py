@@ -94,7 +94,14 @@ def text_linebreaks(spark, sf_dir):
 WITH c AS (SELECT doc_id, unnest(string_split(t, '')) AS c, unnest(range(len(string_split(t, '')))) AS i FROM {_DOCS} WHERE doc_id % 3 = 0)
 SELECT doc_id, string_agg(c, '' ORDER BY i) FILTER (WHERE NOT regexp_matches(c, '{_MARKS}') OR {_U("doc_id", "i")} < 0.4) AS kept FROM c GROUP BY doc_id""")
 def text_partial_marks(spark, sf_dir):
-    return _documents(spark, sf_dir).where("doc_id % 3 = 0").select("doc_id", t.strip_marks_partly(F.col("t"), 0.4, F.col("doc_id")).alias("kept"))
+    """Every third document, as its SQL has it; ``text_partial_marks_all`` has them all."""
+    return text_partial_marks_all(spark, sf_dir).where("doc_id % 3 = 0")
+
+
+@_query()
+def text_partial_marks_all(spark, sf_dir):
+    """Every document; tests hold it against a loop."""
+    return _documents(spark, sf_dir).select("doc_id", t.strip_marks_partly(F.col("t"), 0.4, F.col("doc_id")).alias("kept"))
 
 
 _ENDS = r".!?؟۔،\n"
@@ -181,7 +188,18 @@ c AS (SELECT *, CASE WHEN run_direction <> coalesce(lag(run_direction) OVER (PAR
 r AS (SELECT *, sum(ch) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM c)
 SELECT id, CAST(pos AS INTEGER) AS pos, word, CAST(row_number() OVER (PARTITION BY id ORDER BY -run, CASE WHEN run_direction = 'rtl' THEN -pos ELSE pos END) AS INTEGER) AS place FROM r""")
 def bidi_order(spark, sf_dir):
-    words = _documents(spark, sf_dir).where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.posexplode(t.tokens(F.col("t"))).alias("pos", "word"))
+    """Every third document, as its SQL has it; ``bidi_order_all`` has them all."""
+    return _ordered(_documents(spark, sf_dir).where("doc_id % 3 = 0"))
+
+
+@_query()
+def bidi_order_all(spark, sf_dir):
+    """Every document; tests hold it against a loop."""
+    return _ordered(_documents(spark, sf_dir))
+
+
+def _ordered(documents: DataFrame) -> DataFrame:
+    words = documents.select(F.col("doc_id").alias("id"), F.posexplode(t.tokens(F.col("t"))).alias("pos", "word"))
     words = words.withColumns({"direction": t.strong_direction(F.col("word")), "base": F.lit("rtl")})
     return layout.visual_order(words).select("id", "pos", "word", "place")
 
