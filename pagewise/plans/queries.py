@@ -404,12 +404,25 @@ def eval_pairs(spark, sf_dir):
     return _scores(spark, sf_dir).select("id", "missing", "n_chars", F.round("cer", 6).alias("cer"), F.round("similarity", 6).alias("similarity"))
 
 
+@_query()
+def eval_pairs_all(spark, sf_dir):
+    """All scores of each pair, the token error rate too; tests hold it against a loop."""
+    return _scores(spark, sf_dir).select("id", "missing", "n_chars", *[F.round(c, 6).alias(c) for c in ("cer", "wer", "similarity")])
+
+
 @_query(f"WITH {_PAIRS} SELECT count(*) AS samples, count(*) FILTER (WHERE missing) AS missing, round(avg(cer), 6) AS cer_macro, round(sum(cer * n_chars) / sum(n_chars), 6) AS cer_micro, round(avg(similarity), 6) AS similarity FROM e")
 def eval_report(spark, sf_dir):
     r = evaluation.report(_scores(spark, sf_dir))
     return r.select("samples", "missing", *[F.round(c, 6).alias(c) for c in ("cer_macro", "cer_micro", "similarity")])
 
 
+@_query()
+def eval_report_all(spark, sf_dir):
+    """The report with the mean token error rate; tests hold it against a loop."""
+    r = evaluation.report(_scores(spark, sf_dir))
+    return r.select("samples", "missing", *[F.round(c, 6).alias(c) for c in ("cer_macro", "cer_micro", "wer", "similarity")])
+
+
 @_query(f"WITH {_PAIRS} SELECT id, round(cer, 6) AS cer FROM e ORDER BY cer DESC, id LIMIT 10")
 def eval_worst(spark, sf_dir):
     return evaluation.worst(_scores(spark, sf_dir)).select("id", F.round("cer", 6).alias("cer"))
@@ -424,10 +437,21 @@ def eval_missing(spark, sf_dir):
 WITH {_PAIRS}, s AS (SELECT id, rt[:12] AS a, ht[2:13] AS b FROM w), c AS (SELECT *, list_concat(a, b) AS u FROM s)
 SELECT id, CAST(levenshtein(array_to_string(list_transform(a, lambda x: chr(CAST(64 + list_position(u, x) AS INTEGER))), ''), array_to_string(list_transform(b, lambda x: chr(CAST(64 + list_position(u, x) AS INTEGER))), '')) AS INTEGER) AS edits FROM c""")
 def eval_token_distance(spark, sf_dir):
+    """Tokens 1-12 against 2-13, as its SQL codes them; ``eval_token_distance_all`` has all tokens."""
+    return _token_sides(spark, sf_dir).select("id", evaluation.token_distance(F.slice("r", 1, 12), F.slice("h", 2, 12)).alias("edits"))
+
+
+@_query()
+def eval_token_distance_all(spark, sf_dir):
+    """Edits between all tokens of both sides; tests hold it against a loop."""
+    return _token_sides(spark, sf_dir).select("id", evaluation.token_distance(F.col("r"), F.col("h")).alias("edits"))
+
+
+def _token_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.regexp_replace("text", r"[^ -~\n]", "?").alias("r"))
     r = F.col("r")
     h = F.when(F.col("id") % 7 == 0, "").when(F.col("id") % 3 == 0, r).when(F.col("id") % 3 == 1, F.translate(r, "eao", "oex")).otherwise(F.substring(r, F.lit(1), F.char_length(r) - 5))
-    return b.select("id", evaluation.token_distance(F.slice(t.tokens(evaluation.prepare(r)), 1, 12), F.slice(t.tokens(evaluation.prepare(h)), 2, 12)).alias("edits"))
+    return b.select("id", t.tokens(evaluation.prepare(r)).alias("r"), t.tokens(evaluation.prepare(h)).alias("h"))
 
 
 @_query()
