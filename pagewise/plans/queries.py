@@ -556,9 +556,16 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    boxes = F.transform(F.filter(an.page_lines(F.col("page")), lambda x: x["bbox"]["y1"] < 350), lambda x: x["bbox"])
-    return imaging.rasterize(pages.select(F.col("doc_id").alias("id"), F.lit(250).alias("width"), F.lit(350).alias("height"), boxes.alias("boxes")))
+    """Each page on 250 x 350 pixels: page and lines beyond its edges are scaled to fit, and a line keeps a pixel at least."""
+    pages = _pages(spark, sf_dir).select("doc_id", F.col("page.width").alias("w"), F.col("page.height").alias("h"), F.transform(an.page_lines(F.col("page")), lambda x: x["bbox"]).alias("b"))
+    across = 250 / F.greatest("w", F.array_max(F.transform("b", lambda x: x["x1"])))
+    down = 350 / F.greatest("h", F.array_max(F.transform("b", lambda x: x["y1"])))
+
+    def small(x):
+        x0, y0 = F.floor(x["x0"] * across), F.floor(x["y0"] * down)
+        return g.box(x0, y0, F.greatest(x["x1"] * across, x0 + 1), F.greatest(x["y1"] * down, y0 + 1))
+
+    return imaging.rasterize(pages.select(F.col("doc_id").alias("id"), F.lit(250).alias("width"), F.lit(350).alias("height"), F.transform("b", small).alias("boxes")))
 
 
 @_query()

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pagewise.functions import geometry as g
 from pagewise.operators import imaging
+from pagewise.plans import queries as plans
 
 
 def picture(ink=40, paper=235, stroke=3, spacing=9, shape=(120, 160)):
@@ -57,3 +58,15 @@ def test_boxes_follow_rotation_and_perspective(spark):
     p = imaging.perspective_map(corners, moved)
     flat = spark.range(1).select(imaging.map_box(g.box(0, 0, 100, 200), p)["polygon"].alias("p"), F.lit(1)).first().p
     assert flat == pytest.approx([v for c in moved for v in c])
+
+
+def test_pictures_show_every_line_to_its_end(spark, tmp_path):
+    line = "x" * 30
+    texts = ["\n".join([line] * 11), "\n".join([line] * 40), "\n".join([line] * 400), "x" * 140, "x" * 100 + "\n" + "x" * 3000, "x" * 100 + "\n" + "x" * 6000, "", None]
+    spark.createDataFrame([(i, x, "s") for i, x in enumerate(texts)], "doc_id int, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    ink = {int(r.id): np.frombuffer(r.pixels, np.uint8).reshape(350, 250) < 100 for r in plans._rasters(spark, str(tmp_path)).collect()}
+    last = lambda x, axis: int(np.flatnonzero(x.any(axis))[-1])
+    assert [last(ink[i], 1) // 10 for i in (0, 1, 2)] == [8, 30, 34] and last(ink[3], 0) > 240
+    # a longer second line leaves the first less of the width, and ends at the same place itself
+    assert last(ink[4], 0) > 240 and last(ink[5], 0) > 240 and ink[4].sum() > ink[5].sum()
+    assert not ink[6].any() and not ink[7].any()
