@@ -107,9 +107,9 @@ class Cuckoo:
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """``did``, ``rk``, ``pos``, ``k1``, ``k2`` of every line that is not blank."""
+    """``did``, ``rk``, ``pos``, ``k1``, ``k2`` of every line that is not blank; a hash seeds the next, so k2 has the line last."""
     keyed = documents.select(*_row_key(documents), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
-    return keyed.where(F.trim("line") != "").select("did", "rk", "pos", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
+    return keyed.where(F.trim("line") != "").select("did", "rk", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 def _row_key(documents: DataFrame) -> list:

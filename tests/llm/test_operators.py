@@ -365,6 +365,23 @@ def test_warc_validates_headers():
     assert warc.parse_record(good[:10])[2] == "no end of headers"
 
 
+def test_lines_of_one_first_hash_are_different(spark):
+    one, two, four, five, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, (1 << 64) - 1
+    turn = lambda x, n: (x << n | x >> (64 - n)) & full
+    word = lambda x: turn(int.from_bytes(x, "little") * two & full, 31) * one & full
+    state = lambda x: (turn((42 + five + 16) & full ^ word(x), 27) * one + four) & full
+    target = state(b"line no.") ^ word(b" is one.")
+    for k in range(1 << 20):
+        head = b"%08d" % k
+        tail = (turn((target ^ state(head)) * pow(one, -1, 1 << 64) & full, 33) * pow(two, -1, 1 << 64) & full).to_bytes(8, "little")
+        if all(32 < c < 127 for c in tail):
+            break
+    texts = [(1, "line no. is one."), (2, (head + tail).decode())]
+    df = documents(spark, texts)
+    assert len({r.k1 for r in lines.lines(df).collect()}) == 1 and len({r.k2 for r in lines.lines(df).collect()}) == 2
+    assert sorted((r.doc_id, r.text) for r in lines.keep(df).collect()) == texts
+
+
 # top-k
 
 
