@@ -5,7 +5,8 @@ signs, each with one space before it, and white space), vectorised over code poi
 one row: the byte arrays of its distinct words and, for each document, the places of its words among them. Spark
 folds the merges over every distinct word once: in each step the leftmost pair of least rank becomes one symbol,
 and the ranks of its two new pairs are looked up. Decoding concatenates the binary pieces of symbols. Documents are
-put together from their words' symbols and pieces in the same row, so no document is shuffled.
+put together from their words' symbols and pieces in the same row, so no document is shuffled. Words are told apart
+by their bytes; hashes only bring equal ones together.
 
 Two kinds of words are not folded again in each chunk; they get the same symbols as the others. Words that are
 frequent in a hash sample of the documents are folded once, ``cached_words`` at most, and read by all tasks from
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .shared import release, scratch
+from .shared import file_system, release, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK_BYTES, SLICE_BYTES = 3 << 20, 1 << 19
@@ -183,32 +184,32 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], limit: int, path: str, cache:
     for part in tb.chunks(batches, "text", limit):
         text = part.column("text")
         null = text.is_null().to_numpy(zero_copy_only=False)
-        hashes, places, pools, sizes, counts, seen = [], [], [], [], [], 0
+        places, pools, sizes, counts, seen = [], [], [], [], 0
         for data, off, starts, ends in _slices(text):
-            h, at, place = np.unique(tb.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            _, at, place = tb.distinct(data, starts, ends)
             size = (ends - starts)[at]
-            hashes.append(h)
             places.append((place + seen).astype(np.int32))
             pools.append(_spread(data, starts[at], size))
             sizes.append(size)
             counts.append(np.diff(np.searchsorted(starts, off)))
-            seen += len(h)
-        h, at, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            seen += len(at)
         pool, size = np.concatenate(pools), np.concatenate(sizes)
-        begin = (np.cumsum(size) - size)[at]
-        size = size[at]
+        begin = np.cumsum(size) - size
+        h, at, place = tb.distinct(pool, begin, begin + size)
+        begin, size = begin[at], size[at]
         places = place.astype(np.int32)[np.concatenate(places)]
-        del hashes, pools, sizes, place
+        del pools, sizes, place
         fold = size <= LONG
         spelled = [np.array(merge_long(pool[begin[k] : begin[k] + size[k]].tobytes(), ranks), np.int32) for k in np.flatnonzero(~fold)]
         extra = np.concatenate([np.empty(0, np.int32), *spelled])
         begin[~fold], size[~fold] = np.cumsum([0, *map(len, spelled)])[:-1], list(map(len, spelled))
         if known is not None and len(known[0]) and len(h):
             k = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
-            hit = (known[0][k] == h) & fold
+            hit = np.flatnonzero((known[0][k] == h) & fold & (known[4][k + 1] - known[4][k] == size))
+            hit = hit[tb.equal_spans(pool, begin[hit], known[3], known[4][k[hit]].astype(np.int64), size[hit])]
             size[hit] = known[1][k[hit] + 1] - known[1][k[hit]]
             begin[hit] = len(extra) + np.cumsum(size[hit]) - size[hit]
-            fold &= ~hit
+            fold[hit] = False
             extra = np.concatenate([extra, _spread(known[2], known[1][k[hit]].astype(np.int64), size[hit]).astype(np.int32)])
         whole, parts = np.flatnonzero(~fold), np.flatnonzero(fold)
         moved = np.empty(len(h), np.int32)
@@ -290,8 +291,8 @@ def cache_words(documents: DataFrame, path: str = VOCABULARY, most: int = CACHED
         for data, _, starts, ends in (x for batch in batches for x in _slices(batch.column("text"))):
             short = ends - starts <= LONG
             starts, ends = starts[short], ends[short]
-            _, at, count = np.unique(tb.span_hashes(data, starts, ends), return_index=True, return_counts=True)
-            size = (ends - starts)[at]
+            _, at, place = tb.distinct(data, starts, ends)
+            count, size = np.bincount(place, minlength=len(at)), (ends - starts)[at]
             edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             flat = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(_spread(data, starts[at], size).tobytes())])
             yield pa.RecordBatch.from_arrays([flat, pa.array(count.astype(np.int64))], names=["word", "n"])
@@ -304,23 +305,23 @@ def cache_words(documents: DataFrame, path: str = VOCABULARY, most: int = CACHED
             size = np.diff(off)
             flat = symbol[data] | ((np.arange(len(data)) - np.repeat(off[:-1], size)) << 16).astype(np.int32)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays([one(pa.array(tb.span_hashes(data, off[:-1], off[1:]).view(np.int64))), one(_lists(size, flat))], names=["ks", "words"])
+            yield pa.RecordBatch.from_arrays([one(pa.array(tb.span_hashes(data, off[:-1], off[1:]).view(np.int64))), one(batch.column("word")), one(_lists(size, flat))], names=["ks", "bytes", "words"])
 
     top = sample.mapInArrow(words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
-    chunks = top.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(rows, "ks array<bigint>, words array<array<int>>")
+    chunks = top.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(rows, "ks array<bigint>, bytes array<binary>, words array<array<int>>")
     folder = scratch(spark, "words")
-    done = chunks.crossJoin(F.broadcast(literals)).select(F.explode(F.expr(f"arrays_zip(ks, {_FOLDED.format(fold_sql(half))})")).alias("r"))
-    done.select(F.col("r").getField("ks").alias("k"), F.col("r").getField("1").alias("s")).write.parquet(folder)
+    done = chunks.crossJoin(F.broadcast(literals)).select(F.explode(F.expr(f"arrays_zip(ks, bytes, {_FOLDED.format(fold_sql(half))})")).alias("r"))
+    done.select(F.col("r").getField("ks").alias("k"), F.col("r").getField("bytes").alias("w"), F.col("r").getField("2").alias("s")).write.parquet(folder)
     return folder
 
 
 @lru_cache(maxsize=1)
-def load_cache(folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, ascending, edges and symbols of the cached words."""
+def load_cache(folder: str) -> tuple[np.ndarray, ...]:
+    """Hashes, ascending, of the cached words, the edges and values of their symbols, and their bytes and the edges of these."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    system, place = fs.FileSystem.from_uri(folder)
+    system, place = file_system(folder)
     files = [f.path for f in system.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet")]
     t = pa.concat_tables([pq.read_table(f, filesystem=system) for f in files])
     hashes = t["k"].to_numpy().view(np.uint64)
@@ -328,7 +329,10 @@ def load_cache(folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists = t["s"].combine_chunks()
     first, size = lists.offsets.to_numpy()[:-1], pc.list_value_length(lists).to_numpy()
     made = hashes[order], np.concatenate([[0], np.cumsum(size[order])]).astype(np.int32), _spread(lists.values.to_numpy().astype(np.uint16), first[order], size[order])
-    del t, lists, hashes, order, first, size
+    letters, edge = tb.text_bytes(t["w"])
+    size = np.diff(edge)[order]
+    made += _spread(letters, edge[:-1][order], size), np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    del t, lists, letters, edge, hashes, order, first, size
     release()
     return made
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -20,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that all executors share.
 
-    The session's ``spark.checkpoint.dir`` is used where it is set; otherwise (tests, one machine) a
-    temporary folder is made and becomes the session's checkpoint folder.
+    The session's ``spark.checkpoint.dir`` is used where it is set; otherwise, on one machine, a temporary folder is
+    made and becomes the session's checkpoint folder. On a cluster the setting is required.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pagewise-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
@@ -37,6 +40,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str):
+    """The file system and path of a URI; Hadoop's names for S3 are known too."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder.
 

@@ -91,6 +91,30 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def equal_spans(a: np.ndarray, begin: np.ndarray, b: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of two byte arrays, ``size`` bytes from two places each, hold the same bytes."""
+    edge = np.concatenate([[0], np.cumsum(size)])
+    step = np.arange(edge[-1])
+    wrong = np.concatenate([[0], np.cumsum(a[np.repeat(begin - edge[:-1], size) + step] != b[np.repeat(other - edge[:-1], size) + step])])
+    return wrong[edge[1:]] == wrong[edge[:-1]]
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different byte spans: their hashes and first places among the spans, and for each span which of them it is.
+
+    Hashes only bring equal spans together; bytes decide, and where spans of one hash differ, bytes alone.
+    """
+    hashes, size = span_hashes(data, starts, ends), ends - starts
+    h, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+    same = size == size[at][place]
+    if same.all() and equal_spans(data, starts, data, starts[at][place], size).all():
+        return h, at, place
+    seen: dict[bytes, int] = {}
+    place = np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(starts, ends)])
+    at = np.unique(place, return_index=True)[1]
+    return hashes[at], at, place
+
+
 def words(arr: pa.Array, lower: bool = True) -> Words:
     """Tokens of a text array; nulls are taken as empty."""
     if arr.null_count:
