@@ -1,16 +1,18 @@
 """Token counts: an exact histogram of encoded lengths, and what suffix sums over it answer.
 
-Each document is encoded by a byte-level vocabulary on the executors and adds its length to a histogram, which is
-combined before the only shuffle. Suffix sums of the histogram answer, for every context limit L: documents and
-tokens in all, documents that are longer, tokens left when each document is truncated to L, and quantiles. Between
-two lengths that occur these answers are linear in L, so a row for each length that occurs holds them for every L.
+Each document is cut into words as ``bpe`` cuts it, and the tokens of its words, counted once for each different word,
+are its length; lengths are counted in a histogram that is combined before the only shuffle. Suffix sums of the
+histogram answer, for every context limit L: documents and tokens in all, documents that are longer, tokens left when
+each document is truncated to L, and quantiles. Between two lengths that occur these answers are linear in L, so a row
+for each length that occurs holds them for every L.
 
 Defined results: a null text has no length and is left out; an empty one has length 0; repeated rows count each;
-ids and extra columns play no part; an empty table gives an empty result.
+ids and extra columns play no part; an empty table gives an empty result; texts and words may be of any length.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,25 +21,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .bpe import VOCABULARY, load_ranks
+from .bpe import VOCABULARY, load_ranks, split_words
 
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths of one block of the histogram, which is summed in one task.
 BLOCK = 1 << 16
+#: Words whose counts a task remembers; it starts again when there are more.
+REMEMBERED = 1 << 20
+
+
+class WordCounter:
+    """Numbers of tokens of words; a word is one piece for the encoder, whatever is in it."""
+
+    def __init__(self, path: str = VOCABULARY):
+        import tiktoken
+
+        ranks = load_ranks(path)
+        self.encoder = tiktoken.Encoding("pieces", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.ranks, self.known = ranks, {}
+
+    def count(self, word: bytes) -> int:
+        n = self.known.get(word)
+        if n is None:
+            n = 1 if word in self.ranks else len(self.encoder.encode_ordinary(word.decode()))
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = n
+        return n
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text of an array without nulls."""
+        data, off = tb.text_bytes(texts)
+        starts = split_words(data, off)
+        ends = np.append(starts[1:], len(data)).astype(np.int64)
+        _, at, place = tb.distinct(data, starts, ends)
+        raw = data.tobytes()
+        counts = np.fromiter((self.count(raw[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist())), np.int64, len(at))
+        total = np.concatenate([[0], np.cumsum(counts[place])])
+        edge = np.searchsorted(starts, off)
+        return total[edge[1:]] - total[edge[:-1]]
 
 
 def token_lengths(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``length``, ``n``: numbers of documents by length, as counted in the tasks; lengths repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
-        seen: dict[int, int] = {}
-        for part in tb.chunks(batches, "text"):
-            for text in part.column("text").to_pylist():
-                n = len(encoding.encode_to_numpy(text, disallowed_special=()))
-                seen[n] = seen.get(n, 0) + 1
+        counter, seen = WordCounter(path), Counter()
+        for part in tb.chunks(batches, "text", 1 << 20):
+            seen.update(counter.lengths(part.column("text")).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["length", "n"])
 
     texts = documents.select(F.col("text").cast("string").alias("text")).where("text is not null")
