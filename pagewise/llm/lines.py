@@ -1,11 +1,13 @@
 """Line dedup: sharded cuckoo filters backed by exact reference counts.
 
-A line's key is 128 bits of hashes. An index has shards by key; each has an exact table (key, number of occurrences)
-and a cuckoo filter of its keys with 16-bit fingerprints. Inserting documents counts their lines: a line that the
+A line's key is 128 bits of two hashes with seeds of their own. An index has shards by key; each has an exact table
+(key, number of occurrences) and a cuckoo filter of its keys with 16-bit fingerprints. The number of shards follows the
+number of lines: an insertion that would fill them deals the tables out anew, so that no shard grows with the data.
+Inserting documents counts their lines: a line that the
 filter does not know is new for sure and its first occurrence (least id, text hash, place) stays; one that it may
 know is looked up in the table. All other occurrences go. Deleting documents takes their counts off again; a key
 that reaches 0 leaves the table and the filter, so an index after insertions and the deletion of some of them is the
-index of what is left. Each change writes a new version of the index in the shared folder, and a lost executor only
+index of what is left; deleting lines that were not inserted is an error. Each change writes a new version of the index in the shared folder, and a lost executor only
 means that a shard is computed again.
 
 Defined results: null texts stay null and empty ones empty; blank lines are no lines, and go with the lines that a
@@ -123,14 +125,14 @@ def _shard(keys: DataFrame, shards: int) -> DataFrame:
 class LineIndex:
     """An index of lines in a folder; ``version`` is None while it is empty."""
 
-    def __init__(self, spark: SparkSession, shards: int, version: str | None = None):
-        self.spark, self.shards, self.version = spark, shards, version
+    def __init__(self, spark: SparkSession, shards: int, version: str | None = None, lines_per_shard: int = LINES_PER_SHARD):
+        self.spark, self.shards, self.version, self.lines_per_shard = spark, shards, version, lines_per_shard
 
     @classmethod
     def sized(cls, documents: DataFrame, lines_per_shard: int = LINES_PER_SHARD) -> "LineIndex":
-        """An empty index with shards for about as many lines as the documents have."""
-        n = documents.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
-        return cls(documents.sparkSession, max(1, -(-int(n) // lines_per_shard)))
+        """An empty index with shards for about as many lines as the documents have, and for all cores."""
+        spark = documents.sparkSession
+        return cls(spark, max(3 * spark.sparkContext.defaultParallelism, _shards(documents, 0, lines_per_shard)), None, lines_per_shard)
 
     def _rows(self, kind: int) -> DataFrame:
         return self.spark.read.schema(_STATE).parquet(self.version).where(F.col("kind") == kind)
@@ -141,27 +143,37 @@ class LineIndex:
             return self.spark.createDataFrame([], "k1 bigint, k2 bigint, refs bigint")
         return self._rows(_TABLE).select("k1", "k2", "refs")
 
-    def _change(self, documents: DataFrame, sign: int) -> "LineIndex":
+    def _change(self, documents: DataFrame, sign: int, shards: int) -> "LineIndex":
         seen = lines(documents).groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.min(F.struct("did", "rk", "pos")).alias("o"))
-        new = _shard(seen, self.shards).select(F.lit(0).alias("kind"), "shard", "k1", "k2", (sign * F.col("refs")).alias("refs"), "o.did", "o.rk", "o.pos", F.lit(None).cast("binary").alias("filter"))
+        new = _shard(seen, shards).select(F.lit(0).alias("kind"), "shard", "k1", "k2", (sign * F.col("refs")).alias("refs"), "o.did", "o.rk", "o.pos", F.lit(None).cast("binary").alias("filter"))
         if self.version is not None:
-            new = new.unionByName(self.spark.read.schema(_STATE).parquet(self.version).where(F.col("kind") != _OWNER))
+            old = self.spark.read.schema(_STATE).parquet(self.version)
+            new = new.unionByName(old.where(F.col("kind") != _OWNER) if shards == self.shards else _shard(old.where(F.col("kind") == _TABLE), shards).select(*_NAMES))
         folder = scratch(self.spark, "lines")
         new.groupBy("shard").applyInArrow(_apply, _STATE).write.parquet(folder)
-        return LineIndex(self.spark, self.shards, folder)
+        return LineIndex(self.spark, shards, folder, self.lines_per_shard)
 
     def insert(self, documents: DataFrame) -> "LineIndex":
-        return self._change(documents, 1)
+        if self.version is None:
+            return self._change(documents, 1, self.shards)
+        return self._change(documents, 1, max(self.shards, _shards(documents, self._rows(_TABLE).count(), self.lines_per_shard)))
 
     def delete(self, documents: DataFrame) -> "LineIndex":
         """The index without documents that were inserted, given with their texts as they were."""
-        return self._change(documents, -1)
+        return self._change(documents, -1, self.shards)
 
     def owners(self) -> DataFrame:
         """``did``, ``rk``, ``kept``: the places of the lines that stay, of the documents that were inserted last."""
         return self._rows(_OWNER).groupBy("did", "rk").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 
+def _shards(documents: DataFrame, held: int, lines_per_shard: int) -> int:
+    """The number of shards for the lines of the documents and those that an index holds."""
+    text = F.col("text").cast("string")
+    n = documents.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
+    return max(1, -(-(int(n) + held) // lines_per_shard))
+
+
 def _apply(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One shard: its table and filter, with the counts of a batch of lines added or taken off."""
     t = pa.Table.from_batches(list(batches))
@@ -186,6 +198,8 @@ def _apply(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     np.add.at(refs, place[known], change[known])
     fresh = ~known & (change > 0)
     gone = refs <= 0
+    if (~known & (change < 0)).any() or (refs < 0).any():
+        raise ValueError("lines are to be deleted that were not inserted")
     if gone.any():
         cuckoo.delete(k1[gone])
     if fresh.any() and not cuckoo.insert(b1[fresh]):
