@@ -6,7 +6,7 @@ without decompression, and deals ranges of frames of about ``RANGE_BYTES`` to ta
 in parallel. Each frame is decoded on its own and its record's version line, headers, Content-Length and payload
 digest are validated.
 
-Defined results: a damaged frame, header or length gives a row with ``valid`` false and the ``error``, and reading
+Defined results: a damaged or truncated dictionary gives such a row for every frame of its archive; a damaged frame, header or length gives a row with ``valid`` false and the ``error``, and reading
 goes on with the next frame; a truncated archive gives such a row for its last frame; an empty archive has no rows;
 records are rows in any order with ``archive`` and ``offset`` naming their place. ``write_archives`` writes a null
 html as an empty payload with the header ``X-Null``, null ids and urls as missing headers; texts may be of any length.
@@ -23,10 +23,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sample_texts
+from .shared import file_system, sample_texts
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
-RANGE_BYTES = 8 << 20
+RANGE_BYTES, MOST_TASKS = 8 << 20, 20_000
 DICTIONARY_BYTES, SAMPLED_PAGES = 64 << 10, 2000
 RECORD = "archive string, offset bigint, record_id string, record_type string, target_uri string, content_length bigint, payload binary, valid boolean, error string, headers map<string,string>"
 _TYPES = pa.schema(
@@ -37,13 +37,6 @@ _TYPES = pa.schema(
 )
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
-    return system, path
-
-
 class _Reader:
     """Bytes of a file at any place, with a window of what was read last."""
 
@@ -90,14 +83,28 @@ def frame_length(r: _Reader, at: int) -> int:
 
 
 def read_dictionary(r: _Reader) -> zstandard.ZstdCompressionDict | None:
-    """The dictionary of the leading skippable frame, which may be compressed; None if there is no such frame."""
+    """The dictionary of the leading skippable frame, which may be compressed; None if there is no such frame.
+
+    Raises ValueError if it is damaged or truncated.
+    """
     head = r.get(0, 8)
     if len(head) < 8 or struct.unpack("<I", head[:4])[0] != SKIPPABLE:
         return None
-    data = r.get(8, struct.unpack("<I", head[4:])[0])
-    if data[:4] == struct.pack("<I", FRAME):
-        data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    return zstandard.ZstdCompressionDict(data)
+    n = struct.unpack("<I", head[4:])[0]
+    data = r.get(8, n)
+    if len(data) < n:
+        raise ValueError("truncated dictionary")
+    try:
+        if data[:4] == struct.pack("<I", FRAME):
+            unpack = zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
+            data = unpack.decompress(data)
+            if not unpack.eof:
+                raise ValueError("truncated dictionary")
+        made = zstandard.ZstdCompressionDict(data)
+        zstandard.ZstdDecompressor(dict_data=made)
+        return made
+    except zstandard.ZstdError as e:
+        raise ValueError(f"dictionary: {e}") from e
 
 
 def build_record(record_id: str | None, uri: str | None, payload: bytes, record_type: str = "resource", extra: dict[str, str] | None = None) -> bytes:
@@ -154,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, level: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        system, path = _open(folder)
+        system, path = file_system(folder)
         system.create_dir(path, recursive=True)
         context = TaskContext.get()
         name = f"{path}/part-{context.partitionId():05d}.warc.zst"
@@ -162,7 +169,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, level: int
         trained = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=level, dict_data=trained, write_checksum=True, write_content_size=True)
         with system.open_output_stream(part) as out:
-            packed = zstandard.ZstdCompressor(level=level).compress(dictionary)
+            packed = zstandard.ZstdCompressor(level=level, write_checksum=True).compress(dictionary)
             if dictionary:
                 out.write(struct.pack("<II", SKIPPABLE, len(packed)) + packed)
             for b in batches:
@@ -177,18 +184,23 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, level: int
     return rows.mapInArrow(run, "archive string, records bigint")
 
 
-def ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``archive``, ``start``, ``end``: ranges of whole frames, and ranges that are no frames with an ``error``."""
-    system, path = _open(folder)
+def _archives(folder: str) -> list[tuple[str, int]]:
+    """Paths and sizes of the archives of a folder."""
     from pyarrow import fs
 
-    names = sorted(f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".warc.zst"))
+    system, path = file_system(folder)
+    return sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".warc.zst"))
+
+
+def ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``archive``, ``start``, ``end``: ranges of whole frames, and ranges that are no frames with an ``error``."""
+    names = [name for name, _ in _archives(folder)]
     schema = "archive string, start bigint, end bigint, error string"
     if not names:
         return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _open(folder)
+        system, _ = file_system(folder)
         for b in batches:
             for name in b.column(0).to_pylist():
                 found, at, start = [], 0, 0
@@ -214,7 +226,7 @@ def ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) ->
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["archive", "start", "end", "error"])
 
-    listed = spark.createDataFrame([(n,) for n in names], "archive string").repartition(max(1, min(len(names), 10_000)), "archive")
+    listed = spark.createDataFrame([(n,) for n in names], "archive string").repartition(min(len(names), MOST_TASKS))
     return listed.mapInArrow(run, schema)
 
 
@@ -237,7 +249,7 @@ def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYT
         return name, at, headers.get("warc-record-id"), headers.get("warc-type"), headers.get("warc-target-uri"), int(length) if length.isdecimal() else None, payload, error is None, error, list(headers.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _open(folder)
+        system, _ = file_system(folder)
         for b in batches:
             for name, start, end, error in zip(*(b.column(c).to_pylist() for c in ("archive", "start", "end", "error"))):
                 rows, held = [], 0
@@ -245,16 +257,18 @@ def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYT
                     rows.append(row(name, start, {}, None, error))
                 else:
                     with system.open_input_file(name) as f:
-                        r = _Reader(f, 1 << 20)
-                        trained = read_dictionary(r)
-                        # limits what a damaged header can ask for
-                        unpack = zstandard.ZstdDecompressor(dict_data=trained, max_window_size=1 << 31)
-                        at = start
+                        r, at, broken = _Reader(f, 1 << 20), start, None
+                        try:  # the window's size limits what a damaged header can ask for
+                            unpack = zstandard.ZstdDecompressor(dict_data=read_dictionary(r), max_window_size=1 << 31)
+                        except ValueError as e:
+                            broken = str(e)
                         while at < end:
                             n = frame_length(r, at)
                             data = r.get(at, n)
                             if struct.unpack("<I", data[:4])[0] == FRAME:
                                 try:
+                                    if broken is not None:
+                                        raise zstandard.ZstdError(broken)
                                     headers, payload, wrong = parse_record(unpack.decompressobj().decompress(data))
                                 except zstandard.ZstdError as e:
                                     headers, payload, wrong = {}, None, f"frame: {e}"
@@ -267,7 +281,9 @@ def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYT
                 if rows:
                     yield _records(rows)
 
-    return ranges(spark, folder, range_bytes).repartition(F.col("archive"), F.col("start")).mapInArrow(run, RECORD)
+    # a number of its own, as ranges are small rows that would be put together in one task otherwise
+    tasks = min(MOST_TASKS, max(1, sum(-(-size // range_bytes) for _, size in _archives(folder))))
+    return ranges(spark, folder, range_bytes).repartition(tasks).mapInArrow(run, RECORD)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
