@@ -1,4 +1,4 @@
-"""Exact top-k inner products, every row a query.
+"""Exact top-k inner products of some rows of a table with all its others.
 
 Vectors are rotated by the eigenvectors of their second moments (the right singular vectors of the table, from one
 distributed Gram sum), written to the shared folder in blocks by descending norm, and read block by block by each
@@ -7,32 +7,35 @@ out against each query's k-th product so far; a group ends its pass when the nex
 matter any more. What is left is compared by the exact product of the vectors as they are, in double precision.
 
 No vector is broadcast and no task holds more than two blocks. Ties go to the least id, and products are exact up to
-double rounding. Defined results: rows with a null id, a null vector, a null or non-finite component are left out,
-as are vectors whose length is not the most frequent one; a row is not its own neighbour, but other rows of equal
-id are; fewer than k neighbours give fewer rows; empty tables give empty results; extra columns play no part.
+double rounding. Defined results: rows with a null id, a null vector, a null or non-finite component are left out; a
+product is that of two vectors of one length, so vectors of each length are searched among themselves; a row is not
+its own neighbour, but other rows of equal id are; fewer than k neighbours give fewer rows; empty tables give empty
+results; extra columns play no part.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch
+from .shared import file_system, scratch
 
 K, BLOCK_ROWS, LEADING, TILE_ROWS = 10, 4096, 0.25, 512
 _SLACK = 1e-4
 
 
-def _vectors(embeddings: DataFrame) -> tuple[DataFrame, int]:
+def _vectors(embeddings: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``id``, ``v`` of the rows that count, and the lengths of their vectors."""
     usable = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = usable.where("id is not null and v is not null and size(v) > 0").where(~bad)
-    size = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).first()
-    return usable.where(F.size("v") == (size["d"] if size else 0)), size["d"] if size else 0
+    return usable, sorted(r["d"] for r in usable.select(F.size("v").alias("d")).distinct().collect())
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -56,20 +59,27 @@ def rotation(vectors: DataFrame, d: int) -> np.ndarray:
     return vector[:, np.argsort(-value, kind="stable")]
 
 
-def _folder(uri: str):
-    from pyarrow import fs
+def block_order(path: str) -> tuple[int, int]:
+    """Partition and number in the partition of a written file: the names themselves stop being in order at a thousand."""
+    part, number = re.search(r"part-(\d+)-.*-c(\d+)", path).groups()
+    return int(part), int(number)
 
-    system, path = fs.FileSystem.from_uri(uri)
-    return system, path
 
+def top_k(embeddings: DataFrame, k: int = K, queries: str | None = None, block_rows: int = BLOCK_ROWS, leading: float = LEADING) -> DataFrame:
+    """``vec_id``, ``rank`` from 1, ``neighbour_id``, ``score``: the k largest products of vectors with the others.
 
-def top_k(embeddings: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, leading: float = LEADING) -> DataFrame:
-    """``vec_id``, ``rank`` from 1, ``neighbour_id``, ``score``: the k largest products of each vector with the others."""
-    spark = embeddings.sparkSession
-    schema = "vec_id bigint, rank int, neighbour_id bigint, score double"
-    vectors, d = _vectors(embeddings)
-    if not d:
-        return spark.createDataFrame([], schema)
+    ``queries`` is a condition on ``id`` that says which rows are asked for; None asks for all. Every row is searched.
+    """
+    vectors, lengths = _vectors(embeddings)
+    found = [_top_k(vectors.where(F.size("v") == d), d, k, queries, block_rows, leading) for d in lengths]
+    return reduce(DataFrame.unionByName, found) if found else embeddings.sparkSession.createDataFrame([], _SCHEMA)
+
+
+_SCHEMA = "vec_id bigint, rank int, neighbour_id bigint, score double"
+
+
+def _top_k(vectors: DataFrame, d: int, k: int, asked: str | None, block_rows: int, leading: float) -> DataFrame:
+    spark = vectors.sparkSession
     turn, lead = rotation(vectors, d), max(1, int(d * leading))
     uri = scratch(spark, "vectors")
     normed = vectors.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
@@ -79,13 +89,16 @@ def top_k(embeddings: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, leadi
     def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         import pyarrow.parquet as pq
 
-        system, path = _folder(uri)
         from pyarrow import fs
 
-        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
-        for f in files:
+        system, path = file_system(uri)
+        last = np.inf
+        for f in sorted((f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")), key=block_order):
             t = pq.read_table(f, filesystem=system)
             if t.num_rows:
+                if t["norm"][0].as_py() > last:
+                    raise ValueError(f"{f} is out of order")
+                last = t["norm"][t.num_rows - 1].as_py()
                 yield t["id"].to_numpy(), _matrix(t["v"].combine_chunks(), d), t["norm"].to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +109,12 @@ def top_k(embeddings: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, leadi
                 ids, q = part.column("id").to_numpy(), _matrix(part.column("v"), d)
                 yield _search(ids, q, rotate, lead, k, blocks())
 
-    queries = spark.read.parquet(uri).select("id", "v")
-    return queries.mapInArrow(run, schema)
+    rows = spark.read.parquet(uri)
+    if asked is not None:  # few of each block: those of like norm go together, so that blocks are read less often
+        rows = rows.where(asked)
+        groups = max(-(-rows.count() // block_rows), spark.sparkContext.defaultParallelism)
+        rows = rows.repartitionByRange(groups, F.desc("norm"), "id")
+    return rows.select("id", "v").mapInArrow(run, _SCHEMA)
 
 
 def _search(ids: np.ndarray, q: np.ndarray, rotate: np.ndarray, lead: int, k: int, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
