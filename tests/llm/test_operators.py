@@ -1,5 +1,4 @@
 import random
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewise.llm import bpe, graph, leaks, lengths, licences, lines, nearcopies, private, textbatch as tb, topk, toxicity, warc
-from pagewise.llm.shared import scratch
 
 from .cases import HARD, LONG, documents, prose
 
@@ -120,6 +118,12 @@ def test_token_counts(spark):
     assert empty.count() == 0 and lengths.quantile_length(empty, 0.5) is None
 
 
+def test_token_counts_of_white_space_without_end(spark):
+    n = 2_000_000
+    report = lengths.context_report(lengths.histogram(documents(spark, [(1, " " * n), (2, "\n" * n + "x"), (3, "a" * n)])))
+    assert {r.length for r in report.collect()} == {len(bpe.merge_long(w, bpe.load_ranks())) + k for w, k in ((b" " * n, 0), (b"\n" * (n - 1), 2), (b"a" * n, 0))}
+
+
 # licences
 
 
@@ -144,10 +148,13 @@ def test_licences(spark):
 # BPE
 
 
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def reference_bpe(text, ranks):
     import tiktoken
 
-    return tiktoken.Encoding("t", pat_str=lengths.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    return tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
 
 
 def test_bpe_hard_cases(spark):
@@ -306,6 +313,18 @@ def test_line_index_is_reversible(spark):
     assert pairs(both.delete(b).counts()) == before
     assert pairs(both.delete(a).delete(b).counts()) == set()
     assert {r.doc_id: r.text for r in lines.dedup(b, both.delete(a).delete(b)).collect()} == {r.doc_id: r.text for r in lines.dedup(b).collect()}
+    with pytest.raises(Exception, match="not inserted"):
+        index.delete(b)
+
+
+def test_line_index_grows_its_shards(spark):
+    a, b = documents(spark, [(1, "a\nb\nshared")]), documents(spark, [(2, "\n".join(f"x{i}" for i in range(300)) + "\nshared")])
+    small = lines.LineIndex(spark, 1, lines_per_shard=20).insert(a)
+    grown = small.insert(b)
+    assert small.shards == 1 and grown.shards >= 15 and grown.counts().count() == 303
+    assert {r.refs for r in grown.counts().collect()} == {1, 2}
+    assert pairs(grown.delete(b).counts()) == pairs(small.counts())
+    assert lines.dedup(b, small).first().n_removed == 1
 
 
 def test_cuckoo_filter():
@@ -354,6 +373,20 @@ def test_warc_round_trip_and_damage(spark, tmp_path):
     damaged = warc.read_archives(spark, folder).where(F.col("archive").endswith(path.rsplit("/", 1)[1]))
     assert damaged.where("valid").count() == n - 3 and damaged.where("not valid and error is not null").count() >= 3
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
+    assert warc.read_archives(spark, folder, range_bytes=5000).rdd.getNumPartitions() > 8
+
+
+def test_warc_damaged_dictionary_and_clashing_names(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", prose(i, 300), 1, "x", 2) for i in range(40)], "page_id bigint, url string, html string, archive int, records string, offset int").coalesce(1)
+    dictionary = warc.train_dictionary(pages, size=4096)
+    for k, harm in enumerate((lambda raw, n: raw[:20] + bytes([raw[20] ^ 0xFF]) + raw[21:], lambda raw, n: raw[: 4 + n // 2], lambda raw, n: raw)):
+        folder = f"file://{tmp_path}/{k}"
+        (made,) = warc.write_archives(pages, folder, dictionary).collect()
+        raw = open(made.archive, "rb").read()
+        open(made.archive, "wb").write(harm(raw, int.from_bytes(raw[4:8], "little")))
+        rows = warc.read_archives(spark, folder).collect()
+        assert len(rows) >= (40, 1, 40)[k] and {r.valid for r in rows} == {k == 2}
+        assert all(("dictionary" in r.error, "truncated" in r.error, False)[k] for r in rows if r.error)
 
 
 def test_warc_validates_headers():
@@ -405,9 +438,32 @@ def test_top_k_against_brute_force(spark):
     assert set(got) == set(range(300))
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id < 3"), k=5).count() == 6
+    some = {(r.vec_id, r["rank"], r.neighbour_id) for r in topk.top_k(df, k=5, queries="id % 50 = 0", block_rows=64).where("vec_id <> 50").collect()}
+    assert some == {(i, n, j) for i in range(0, 300, 50) if i != 50 for n, j, _ in got[i]}
+    shorter = spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(3)], "vec_id bigint, embedding array<float>, rank int")
+    mixed = [(r.vec_id, r["rank"], r.neighbour_id, r.score) for r in topk.top_k(df.where("vec_id < 20").unionByName(shorter), k=1).collect()]
+    assert len(mixed) == 23 and {(0, 1, 1, 1.0), (1, 1, 2, 3.0), (2, 1, 1, 3.0)} <= set(mixed)
+
+
+def test_blocks_are_in_the_order_of_their_numbers():
+    names = [f"x/part-{p:05d}-9a-c{n}.snappy.parquet" for p in (0, 2, 11) for n in ("000", "101", "999", "1000", "1001")]
+    assert sorted(random.Random(1).sample(names, len(names)), key=topk.block_order) == names
 
 
 def test_tokens_of_batches():
     w = tb.words(pa.array(["Ab cd", None, "", "é-x"]))
     assert np.diff(w.offsets).tolist() == [2, 0, 0, 2]
-    assert zlib.crc32(b"") == 0 and scratch is not None
+
+
+def test_different_words_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(tb, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2))
+    data = np.frombuffer(b"abcdabxycdab", np.uint8)
+    starts = np.arange(0, 12, 2)
+    _, at, place = tb.distinct(data, starts, starts + 2)
+    assert [data[2 * i : 2 * i + 2].tobytes() for i in at] == [b"ab", b"cd", b"xy"] and place.tolist() == [0, 1, 0, 2, 1, 0]
+    text = "the cat, the dog, the don't\n\n x"
+    rows = next(bpe._chunk_rows(iter([pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": pa.array([text])})]), 1 << 20, bpe.VOCABULARY, None))
+    words, ranks = rows.column("words").to_pylist()[0], bpe.load_ranks()
+    spelled = [bytes(b for s in w for b in [next(p for p, r in ranks.items() if r == s & 65535)[0]]) for w in words]
+    assert b"".join(spelled[i] for i in rows.column("docs").to_pylist()[0][0]).decode() == text
+    assert lengths.WordCounter().lengths(pa.array([text])).tolist() == [len(reference_bpe(text, ranks))]
