@@ -7,8 +7,9 @@ triple. A triple of weight w takes the points below height w, so a register's fi
 documents with a probability that is their weighted Jaccard similarity. Processes are followed up to the time at
 which all registers are expected to be filled, and further where one is empty.
 
-Banded signatures link the documents of a bucket to its least id and to their neighbour in it, so that a bucket lies
-in one candidate component. Linked documents are compared first, by the exact multiset Jaccard similarity of their
+Triples are known by 64-bit hashes of their words. Banded signatures link the documents of a bucket to its least id, so
+that a bucket lies in one candidate component; a bucket of any size is counted before it is shuffled, and no task has
+to hold one. Linked documents are compared first, by the exact multiset Jaccard similarity of their
 triples; then every other pair of the component that can reach ``threshold`` and is not yet in one group. Which
 can is decided exactly, by their sizes and the rarest triples of each, so a passage that many documents share makes
 no pairs by itself. Groups are the connected components of the pairs that reach ``threshold``; the least id of
@@ -33,8 +34,8 @@ from .graph import components
 from .shared import cut, free_names, scratch
 
 REGISTERS, ROWS, THRESHOLD = 128, 4, 0.5
-#: Candidate components of more documents than this are verified pair by pair in a join instead of in one task.
-LOCAL_DOCS = 10_000
+#: Candidate components of more triples than this, which a task would have to hold at once, are verified in a join.
+LOCAL_TRIPLES = 4_000_000
 #: Up to so many texts of a component are compared without looking for shared triples; so many pairs are made at once.
 _FEW, _PAIRS = 16, 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -52,11 +53,12 @@ def elements(w: tb.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     second[left < 2], third[left < 3] = 0, 0
     triple = tb.mix(w.hashes * np.uint64(0xC2B2AE3D27D4EB4F) + second * np.uint64(0x165667B19E3779F9) + third * np.uint64(0xD6E8FEB86659FD93))
     at = np.flatnonzero((left >= 3) | (w.offsets[:-1][rows] == np.arange(n)))
-    packed = np.sort((rows[at].astype(np.uint64) << np.uint64(40)) | (triple[at] >> np.uint64(24)))
-    first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
-    count = np.diff(np.append(first, len(packed)))
-    packed = packed[first]
-    return (packed >> np.uint64(40)).astype(np.int64), packed & np.uint64((1 << 40) - 1), count
+    row, triple = rows[at], triple[at]
+    order = np.argsort(triple)
+    order = order[np.argsort(row[order].astype(np.uint16 if len(w.offsets) <= 1 << 16 else np.uint32), kind="stable")]
+    row, triple = row[order], triple[order]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (triple[1:] != triple[:-1])]))
+    return row[first], triple[first], np.diff(np.append(first, len(row)))
 
 
 def signatures(row: np.ndarray, triple: np.ndarray, count: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
@@ -110,9 +112,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketch(documents: DataFrame, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """``doc_id``, the two halves of the key of its multiset, and a hash for each band; no row for texts without words."""
+    """``doc_id``, the halves of the key of its multiset, the size of this, a hash a band; no row for texts without words."""
     bands = registers // rows
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("triples", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tb.chunks(batches, "text", 1 << 20):
@@ -128,18 +130,18 @@ def sketch(documents: DataFrame, registers: int = REGISTERS, rows: int = ROWS) -
             for r in range(rows):
                 h = tb.mix(h * np.uint64(31) + sig[:, :, r])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(h.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], schema=schema)
+            size = pa.array(np.add.reduceat(count, begin).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), size, lists], schema=schema)
 
     usable = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return usable.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return usable.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, triples bigint, bands array<bigint>")
 
 
 def candidates(sketches: DataFrame) -> DataFrame:
-    """Pairs a < b of documents that share a bucket: each with the least id of the bucket and with its neighbour there."""
-    w = Window.partitionBy("band")
+    """Pairs a < b of the documents of each bucket and its least id; least ids are found before a bucket is shuffled."""
     spread = sketches.select("doc_id", F.explode("bands").alias("band"))
-    linked = spread.select("doc_id", F.min("doc_id").over(w).alias("least"), F.lag("doc_id").over(w.orderBy("doc_id")).alias("before")).where("doc_id > least")
-    return linked.select(F.explode(F.array("least", "before")).alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
+    shared = spread.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a < most").select("band", "a")
+    return spread.join(shared, "band").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def _multisets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -153,7 +155,7 @@ def _expand(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     size = np.array([c.sum() for _, c in sets], np.int64)
     count = np.concatenate([c for _, c in sets]).astype(np.int64)
     copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return size, (np.repeat(np.concatenate([x for x, _ in sets]), count) << np.uint64(24)) + copy.astype(np.uint64)
+    return size, tb.mix(np.repeat(np.concatenate([x for x, _ in sets]), count) + copy.astype(np.uint64) * _STEP)
 
 
 def _able(sets: list[tuple[np.ndarray, np.ndarray]], roots: Callable[[], np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
@@ -291,7 +293,7 @@ def _able_pairs(texts: DataFrame, roots: DataFrame, threshold: float) -> DataFra
     return both.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
-def groups(documents: DataFrame, threshold: float = THRESHOLD, registers: int = REGISTERS, rows: int = ROWS, local_docs: int = LOCAL_DOCS) -> DataFrame:
+def groups(documents: DataFrame, threshold: float = THRESHOLD, registers: int = REGISTERS, rows: int = ROWS, local_triples: int = LOCAL_TRIPLES) -> DataFrame:
     """``doc_id``, ``kept_id`` for each document that goes; ``kept_id`` is the least id of its group, which stays."""
     spark = documents.sparkSession
     folder = scratch(spark, "sketch")
@@ -299,16 +301,16 @@ def groups(documents: DataFrame, threshold: float = THRESHOLD, registers: int =
     sketches = spark.read.parquet(folder)
     equal = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     member = cut(sketches.select("doc_id", "k1", "k2").join(equal, ["k1", "k2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
-    lead = sketches.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("s")).select("s.*")
+    lead = sketches.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "triples", "bands")).alias("s")).select("s.*")
     pairs = cut(candidates(lead))
     comp = components(pairs)
-    size = comp.groupBy("root").agg(F.count("*").alias("size"))
-    placed = cut(comp.join(size, "root"))
+    held = sketches.join(comp, F.col("doc_id") == F.col("node")).groupBy("root").agg(F.sum("triples").alias("size"))
+    placed = cut(comp.join(held, "root"))
     text = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     partners = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.sort_array(F.collect_list("a")).alias("partners"))
-    small = placed.where(F.col("size") <= local_docs).select(F.col("node").alias("doc_id"), F.col("root").alias("comp")).join(partners, "doc_id", "left")
+    small = placed.where(F.col("size") <= local_triples).select(F.col("node").alias("doc_id"), F.col("root").alias("comp")).join(partners, "doc_id", "left")
     linked = _verify_local(text.join(small, "doc_id").select("comp", "doc_id", "text", "partners"), threshold).select(F.col("root").alias("a"), F.col("doc_id").alias("b"))
-    large = cut(placed.where(F.col("size") > local_docs).select(F.col("node").alias("doc_id")))
+    large = cut(placed.where(F.col("size") > local_triples).select(F.col("node").alias("doc_id")))
     if not large.isEmpty():
         wide = pairs.join(large.withColumnRenamed("doc_id", "b"), "b", "left_semi")
         texts = text.join(large, "doc_id", "left_semi")
@@ -321,7 +323,7 @@ def groups(documents: DataFrame, threshold: float = THRESHOLD, registers: int =
 def keep_one(documents: DataFrame, found: DataFrame | None = None, **options) -> DataFrame:
     """The rows of the documents that stay, with all their columns; of rows with equal id and text one stays.
 
-    Rows without id stay.
+    That is the one whose columns come first as JSON. Rows without id stay.
     """
     out, twice, n = free_names(documents, "gone", "twice", "n")
     gone = (groups(documents, **options) if found is None else found).select(F.col("doc_id").alias(out))
@@ -329,6 +331,6 @@ def keep_one(documents: DataFrame, found: DataFrame | None = None, **options) ->
     kept = documents.join(gone, documents["doc_id"].cast("bigint") == gone[out], "left_anti")
     marked = kept.join(many, F.col("doc_id") == F.col(twice), "left")
     once = marked.where(F.col(twice).isNull()).drop(twice)
-    w = Window.partitionBy("doc_id", "text").orderBy(F.lit(1))
+    w = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns])))
     again = marked.where(F.col(twice).isNotNull()).withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n, twice)
     return once.unionByName(again)
