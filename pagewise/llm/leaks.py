@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced seeds.
 
 Fixed masks ignore some token positions of a window, so a window with substituted words at those positions keeps
-its hash. Hashes of the benchmark's windows, sent to the tasks in parts of at most ``PART_TOKENS`` tokens, are looked
+its hash. Items that are shorter than these masks have masks of their own length, each of which ignores one inner
+position, or none where ``share`` of the item allows no substitution: items of fewer than five tokens must be found
+word for word, and whoever does not want items of a word or two searched for leaves them out. Hashes of the benchmark's windows, sent to the tasks in parts of at most ``PART_TOKENS`` tokens, are looked
 up for every window of every document in one pass over the scan; a larger benchmark takes more passes. Around each
 hit the document and the item are laid against each other on that diagonal, and the best segment (a match counts 1,
 a substitution -2) is an overlap if it matches ``least`` tokens, or ``share`` of an item that is shorter than that.
 
-Tokens are those of ``textbatch``. Defined results: null and empty texts and items of fewer than ``SHORTEST`` tokens
-overlap with nothing; items of the same id are separate texts, of which the best overlap counts; each row with an
+Tokens are those of ``textbatch``. Defined results: null and empty texts and items without tokens overlap with nothing; items of the same id are separate texts, of which the best overlap counts; each row with an
 overlap gives one row an item, repeated rows too (ties go to the first place in the document); a null doc_id stays
 null; extra columns play no part; empty tables give empty results. Offsets count code points.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 
 MASKS = ("11101100111", "11010111011", "110110100111")
-LEAST, SHARE, SHORTEST = 12, 0.8, 8
-PART_TOKENS = 2_000_000
+LEAST, SHARE = 12, 0.8
+PART_TOKENS, AT_ONCE = 2_000_000, 1_000_000
 SCHEMA = "doc_id bigint, item_id bigint, start int, end int, matched int, aligned int"
 _FIELDS = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("matched", pa.int32()), ("aligned", pa.int32())]
 
@@ -41,6 +42,14 @@ def window_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     return tb.mix(out)
 
 
+def short_masks(n: int, share: float = SHARE) -> list[str]:
+    """The masks of items of ``n`` tokens, fewer than the fixed masks have."""
+    whole = "1" * n
+    if n - 1 < share * n or n < 3:
+        return [whole]
+    return [whole[:k] + "0" + whole[k + 1 :] for k in range(1, n - 1)]
+
+
 def _places(w: tb.Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens at which a window lies in one row, and its hashes."""
     h = window_hashes(w.hashes, mask)
@@ -59,19 +68,16 @@ class Seeds:
     masks: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def seeds(items: list[tuple[int, str]]) -> Seeds:
+def seeds(items: list[tuple[int, str]], share: float = SHARE) -> Seeds:
     w = tb.words(pa.array([t for _, t in items], pa.large_string()))
     length = np.diff(w.offsets)
     masks = {}
-    short = {int(n) for n in length if SHORTEST <= n < max(map(len, MASKS))}
-    for mask in (*MASKS, *("1" * n for n in sorted(short))):
+    most = max(map(len, MASKS))
+    for mask in (*MASKS, *(m for n in sorted({int(n) for n in length if 0 < n < most}) for m in short_masks(n, share))):
         at, h = _places(w, mask)
-        if set(mask) == {"1"}:
+        if mask not in MASKS:
             own = length[w.rows[at]] == len(mask)
             at, h = at[own], h[own]
-        else:
-            own = length[w.rows[at]] >= SHORTEST
-            at, h = at[own], h[own]
         order = np.argsort(h, kind="stable")
         bits = np.zeros(1 << 22, bool)
         bits[(h >> np.uint64(42)).astype(np.int64)] = True
@@ -79,15 +85,24 @@ def seeds(items: list[tuple[int, str]]) -> Seeds:
     return Seeds([i for i, _ in items], w.hashes, w.offsets, masks)
 
 
-def _segment(same: np.ndarray) -> tuple[int, int, int]:
-    """First and last place, and matches, of the best segment."""
+def segments(same: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last place, and matches, of the best segment of each diagonal; diagonals lie one after the other from ``edge``.
+
+    Each has at least one match. All are summed at once: each begins lower than any before it can be.
+    """
+    n = np.diff(edge)
+    which = np.repeat(np.arange(len(n)), n)
     total = np.cumsum(np.where(same, 1, -2))
-    low = np.minimum.accumulate(np.concatenate([[0], total[:-1]]))
-    end = int(np.argmax(total - low))
-    begin = int(np.argmax(np.concatenate([[0], total[:-1]])[: end + 1] == low[end]))
-    while not same[begin]:
-        begin += 1
-    return begin, end + 1, int(same[begin : end + 1].sum())
+    before = np.concatenate([[0], total[:-1]])
+    drop = which * (3 * len(same) + 1)
+    low = np.minimum.accumulate(before - drop) + drop
+    gain = total - low
+    end = np.flatnonzero(gain == np.repeat(np.maximum.reduceat(gain, edge[:-1]), n))
+    end = end[np.unique(which[end], return_index=True)[1]]
+    begin = np.flatnonzero((before == low[end][which]) & same & (np.arange(len(same)) <= end[which]))
+    begin = begin[np.unique(which[begin], return_index=True)[1]]
+    matches = np.concatenate([[0], np.cumsum(same)])
+    return begin - edge[:-1], end + 1 - edge[:-1], matches[end + 1] - matches[begin]
 
 
 def find(w: tb.Words, s: Seeds, least: int = LEAST, share: float = SHARE) -> list[tuple[int, int, int, int, int, int]]:
@@ -110,13 +125,22 @@ def find(w: tb.Words, s: Seeds, least: int = LEAST, share: float = SHARE) -> lis
     owner = np.searchsorted(s.offsets, hits[:, 1], "right") - 1
     diagonal = np.unique(np.stack([rows, owner, hits[:, 0] - hits[:, 1]], 1), axis=0)
     best: dict[tuple[int, int], tuple] = {}
-    for row, k, d in diagonal.tolist():
-        lo, hi = max(int(s.offsets[k]), int(w.offsets[row]) - d), min(int(s.offsets[k + 1]), int(w.offsets[row + 1]) - d)
-        a, b, matched = _segment(s.hashes[lo:hi] == w.hashes[lo + d : hi + d])
-        if matched >= min(least, share * (s.offsets[k + 1] - s.offsets[k])):
-            found = (-matched, lo + d + a, lo + d + b, b - a)
-            key = (row, s.items[k])
-            best[key] = min(best.get(key, found), found)
+    row, k, d = diagonal.T
+    lo, hi = np.maximum(s.offsets[k], w.offsets[row] - d), np.minimum(s.offsets[k + 1], w.offsets[row + 1] - d)
+    of, to = 0, 0
+    while of < len(row):
+        to = max(of + 1, int(np.searchsorted(np.cumsum((hi - lo)[of:]), AT_ONCE, "right")) + of)
+        a, size = lo[of:to], (hi - lo)[of:to]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(a - edge[:-1], size) + np.arange(edge[-1])
+        same = s.hashes[place] == w.hashes[place + np.repeat(d[of:to], size)]
+        begin, end, matched = segments(same, edge)
+        ok = np.flatnonzero(matched >= np.minimum(least, share * (s.offsets[k[of:to] + 1] - s.offsets[k[of:to]])))
+        base = a[ok] + d[of:to][ok]
+        for r, i, *found in zip(row[of:to][ok].tolist(), k[of:to][ok].tolist(), (-matched[ok]).tolist(), (base + begin[ok]).tolist(), (base + end[ok]).tolist(), (end - begin)[ok].tolist()):
+            key = (r, s.items[i])
+            best[key] = min(best.get(key, tuple(found)), tuple(found))
+        of = to
     return [(row, item, b, e, -m, n) for (row, item), (m, b, e, n) in sorted(best.items())]
 
 
@@ -138,7 +162,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in _parts(benchmark, part_tokens):
-        shared = spark.sparkContext.broadcast(seeds(items))
+        shared = spark.sparkContext.broadcast(seeds(items, share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for part in tb.chunks(batches, "text"):
@@ -160,7 +184,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
 def keep_clean(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE, part_tokens: int = PART_TOKENS) -> DataFrame:
     """The rows without an overlap, with all their columns."""
     for items in _parts(benchmark, part_tokens):
-        shared = documents.sparkSession.sparkContext.broadcast(seeds(items))
+        shared = documents.sparkSession.sparkContext.broadcast(seeds(items, share))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for part in tb.chunks(batches, "text"):
