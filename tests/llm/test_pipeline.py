@@ -1,5 +1,6 @@
 import corpus_pipeline
-from pagewise.llm import bpe, leaks, lines, nearcopies, toxicity
+import pyarrow as pa
+from pagewise.llm import leaks, nearcopies, textbatch as tb, toxicity
 from pagewise.llm.shared import table
 
 
@@ -18,16 +19,20 @@ def test_pipeline_is_its_stages_by_brute_force(spark, data):
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, data).collect()}
     gone = set(cleaned) - set(rows)
     assert set(rows) <= set(cleaned)
-    sets = {i: nearcopies._multisets(__import__("pyarrow").array([t]))[0] for i, t in cleaned.items()}
+    sets = {i: nearcopies._multisets(pa.array([t]))[0] for i, t in cleaned.items()}
     items = [(r.item_id, r.text) for r in table(spark, data, "benchmark").collect()]
     seeds = leaks.seeds(items)
     for i in gone:
         near = any(nearcopies.similarity(sets[i], sets[j]) >= nearcopies.THRESHOLD for j in cleaned if j != i)
-        w = __import__("pagewise.llm.textbatch", fromlist=["words"]).words(__import__("pyarrow").array([cleaned[i]]))
-        assert near or leaks.find(w, seeds)
+        assert near or leaks.find(tb.words(pa.array([cleaned[i]])), seeds)
     for i, r in rows.items():
         assert r.decoded == cleaned[i] and r.n_tokens == len(r.tokens)
-    assert bpe.VOCABULARY and lines.LINES_PER_SHARD
+    left = sorted(rows)
+    for k, i in enumerate(left):
+        assert not leaks.find(tb.words(pa.array([cleaned[i]])), seeds)
+        for j in left[:k]:
+            assert not nearcopies.similarity(sets[i], sets[j]) >= 0.65
+    assert len(gone) > 5
 
 
 def test_pipeline_with_an_empty_table(spark, data, tmp_path):
