@@ -1,23 +1,28 @@
-"""Licence notices: a trained paragraph classifier, confirmed by comparison with templates.
-
-The classifier is multinomial logistic regression over hashed word unigrams, bigrams and trigrams of a paragraph
-(a line), with a class for what is no licence. It is trained here, on notices made from the templates below (words
-left out, swapped and added) and on a bounded sample of paragraphs of the corpus itself, which stand for "none"
-unless a template is found in them. Its temperature and the bar under which a paragraph is unknown are calibrated on
-held-out notices and on paragraphs that were not trained on. A prediction counts when the paragraph holds enough of
-a template of its family, word for word in order; otherwise the family is ``unknown``.
-
-Scoring is one pass without a shuffle: weights of each word's features are summed over paragraphs.
-
-Defined results: null and empty texts have no notices; each paragraph of each row with a notice gives one row,
-repeated rows too; a null id stays null; ties between families go to the first by name; extra columns play no part;
-an empty table gives an empty result. Offsets count code points.
+"""Licence notices: a trained classifier of paragraphs, window by window, confirmed by comparison with templates.
+
+A paragraph is a run of lines that have words; a line without words ends it, so a notice that is wrapped over lines is
+seen whole. The classifier is multinomial logistic regression over hashed word unigrams, bigrams and trigrams of the
+paragraph's windows of ``WINDOW`` words, as a notice may stand among other words. Its classes are the families below,
+what is no licence, and licences that are none of the families. It is trained here, on notices made from the templates
+and from texts of other licences (words left out and added, cut, amid words of the corpus) and on a bounded sample of
+the corpus itself. Its temperature, the bar from which a window counts and the probability that a family needs are
+calibrated on windows held out; the last one on licences that were not trained on, which must come out as unknown.
+
+Neighbouring windows that count are one place. A prediction is confirmed where the place holds enough of a template of
+its family, word for word in order, and the words that only this family's template has; of templates that lie across
+each other, the one of which more words are found stays. Where no template confirms a family, the place is ``unknown``;
+such a place has at least ``UNKNOWN_WORDS`` different words of licences, so that words that repeat make none.
+
+Scoring is one pass without a shuffle. Defined results: null and empty texts have no notices; each notice of each row
+gives one row, repeated rows too; a null id stays null; ties between families go to the first by name; extra columns
+play no part; an empty table gives an empty result. Offsets count code points; ``paragraph`` counts them in the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,46 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .licence_texts import OTHER, TEMPLATES
 from .shared import release, sample_texts
 
-TEMPLATES: dict[str, list[str]] = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License version 3", "GNU Affero General Public License"],
-    "all-rights-reserved": ["All rights reserved", "Copyright the authors all rights reserved", "No part of this publication may be reproduced without permission of the publisher"],
-    "apache-2.0": [
-        "Licensed under the Apache License Version 2.0",
-        "Licensed under the Apache License Version 2.0 the License you may not use this file except in compliance with the License",
-        "You may obtain a copy of the License at http www apache org licenses LICENSE 2.0",
-        "SPDX License Identifier Apache 2.0",
-    ],
-    "bsd": [
-        "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "Licensed under the BSD 3 Clause License",
-        "Released under the 2 clause BSD license",
-        "SPDX License Identifier BSD 3 Clause",
-    ],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0", "Available under CC BY 3.0"],
-    "cc-by-nc": ["Licensed under CC BY NC 4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"],
-    "cc-by-sa": ["Licensed under CC BY SA 4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
-    "cc0": ["Dedicated to the public domain under CC0 1.0", "To the extent possible under law the author has waived all copyright and related rights to this work"],
-    "gpl": [
-        "This work is licensed under the GNU General Public License version 3",
-        "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License",
-        "SPDX License Identifier GPL 3.0 or later",
-        "Released under the GPL version 2",
-    ],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License version 2.1", "SPDX License Identifier LGPL 2.1"],
-    "mit": [
-        "Released under the MIT License",
-        "Licensed under the MIT License",
-        "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-        "SPDX License Identifier MIT",
-    ],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License v 2.0", "Licensed under the Mozilla Public License Version 2.0"],
-}
-FAMILIES = ("none", *sorted(TEMPLATES))
-BITS, SAMPLED_PARAGRAPHS, NOTICES = 18, 6_000, 150
-#: A template must be found with this share of its words, in order.
-COVERAGE = 0.75
+FAMILIES = ("none", *sorted(TEMPLATES), "other")
+BITS, SAMPLED_PARAGRAPHS, NOTICES = 18, 6_000, 90
+WINDOW, STRIDE = 12, 4
+#: A template must be found with this share of its words, in order; templates of up to SHORT words with all words of their own.
+COVERAGE, SHORT = 0.75, 16
+UNKNOWN_WORDS = 4
 SCHEMA = "doc_id bigint, paragraph int, start int, end int, family string, probability double, template string, coverage double"
 _FIELDS = [
     ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
@@ -79,11 +53,12 @@ class Model:
     bias: np.ndarray
     temperature: float
     bar: float
+    sure: float
 
 
 @dataclass
 class Paragraphs:
-    """Tokens of some rows grouped by line."""
+    """Tokens of some rows grouped by paragraph."""
 
     w: tb.Words
     first: np.ndarray
@@ -93,13 +68,22 @@ class Paragraphs:
 
 
 def paragraphs(texts: pa.Array) -> Paragraphs:
-    """Lines that have words: their tokens, rows and numbers in the row."""
+    """Runs of lines that have words: their tokens, rows and numbers in the row."""
     w = tb.words(texts)
-    breaks = np.flatnonzero(w.data == 10)
-    line = np.searchsorted(breaks, w.starts) + w.rows  # a line break or a row begins another line
-    begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.empty(0, np.int64)
-    row = w.rows[begin]
-    return Paragraphs(w, begin, np.append(begin[1:], len(line)).astype(np.int64), row, np.searchsorted(breaks, w.starts[begin]) - np.searchsorted(breaks, w.row_bytes[row]))
+    rows, line = w.rows, np.searchsorted(np.flatnonzero(w.data == 10), w.starts)
+    begin = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (np.diff(line) > 1)])) if len(line) else np.empty(0, np.int64)
+    row = rows[begin]
+    return Paragraphs(w, begin, np.append(begin[1:], len(line)).astype(np.int64), row, np.arange(len(row)) - np.searchsorted(row, row))
+
+
+def windows(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paragraph, first and last token of the windows that cover paragraphs; a short paragraph is one."""
+    size = last - first
+    count = 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE))
+    which = np.repeat(np.arange(len(first)), count)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.minimum(first[which] + STRIDE * step, np.maximum(last - WINDOW, first)[which])
+    return which, begin, np.minimum(begin + WINDOW, last[which])
 
 
 def features(p: Paragraphs) -> np.ndarray:
@@ -115,17 +99,12 @@ def features(p: Paragraphs) -> np.ndarray:
     return out
 
 
-def scores(p: Paragraphs, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Sums of the weights of each paragraph, divided by the root of its length."""
-    if not len(p.first):
-        return np.empty((0, len(bias)))
+def probabilities(p: Paragraphs, begin: np.ndarray, end: np.ndarray, m: Model) -> np.ndarray:
+    """Of each window and class: sums of weights divided by the root of the window's length, as odds."""
     f = features(p)
-    total = np.empty((len(p.first), len(bias)))
-    for lo in range(0, len(p.first), 4096):
-        a, b = p.first[lo], p.last[min(lo + 4096, len(p.first)) - 1]
-        each = weight[f[0, a:b]] + weight[f[1, a:b]] + weight[f[2, a:b]]
-        total[lo : lo + 4096] = np.add.reduceat(each, p.first[lo : lo + 4096] - a, axis=0)
-    return total / np.sqrt(p.last - p.first)[:, None] + bias
+    total = np.zeros((len(p.w.hashes) + 1, len(m.bias)))
+    np.cumsum(m.weight[f[0]] + m.weight[f[1]] + m.weight[f[2]], axis=0, dtype=float, out=total[1:])
+    return _softmax(((total[end] - total[begin]) / np.sqrt(end - begin)[:, None] + m.bias) / m.temperature)
 
 
 def _softmax(s: np.ndarray) -> np.ndarray:
@@ -133,129 +112,251 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def notices(rng: np.random.Generator, fillers: list[str], each: int) -> tuple[list[str], list[int]]:
-    """Notices made from the templates: whole, with words left out, swapped or added."""
-    texts, kinds = [], []
-    for k, family in enumerate(FAMILIES[1:], 1):
-        for i in range(each):
-            words = TEMPLATES[family][i % len(TEMPLATES[family])].split()
-            if len(words) > 4 and i % 3:
-                words = [x for x in words if rng.random() > 0.06]
-            if i % 4 == 1:
-                at = int(rng.integers(len(words) + 1))
-                words[at:at] = [fillers[int(rng.integers(len(fillers)))] for _ in range(int(rng.integers(1, 4)))]
-            if i % 5 == 2:
-                words = [*(fillers[int(rng.integers(len(fillers)))] for _ in range(int(rng.integers(1, 8)))), *words]
-            if i % 5 == 3:
-                words = [*words, *(fillers[int(rng.integers(len(fillers)))] for _ in range(int(rng.integers(1, 8))))]
-            texts.append(" ".join(words))
-            kinds.append(k)
-    return texts, kinds
-
-
-def _coverage(words: list[int], template: list[int]) -> float:
-    """Share of a template's words that lie in the paragraph in order (their longest common subsequence)."""
-    best = [0] * (len(template) + 1)
-    for x in words:
-        before = 0
-        for j, y in enumerate(template, 1):
-            here = best[j]
-            best[j] = before + 1 if x == y else max(here, best[j - 1])
-            before = here
-    return best[-1] / len(template)
+# templates
 
 
-_HASHED: dict[str, list[tuple[str, list[int]]]] = {}
+@dataclass
+class Template:
+    name: str
+    words: list[int]
+    places: dict[int, int]
+    own: set[int]
 
 
-def _templates(family: str) -> list[tuple[str, list[int]]]:
-    if not _HASHED:
-        for name, texts in TEMPLATES.items():
-            w = tb.words(pa.array(texts, pa.large_string()))
-            _HASHED[name] = [(t, w.hashes[a:b].tolist()) for t, a, b in zip(texts, w.offsets[:-1], w.offsets[1:])]
-    return _HASHED[family]
+_TEMPLATES: dict[str, list[Template]] = {}
 
 
-def confirm(words: list[int], family: str) -> tuple[str, float]:
-    """The template of a family of which most is found, and how much."""
-    return max(((t, _coverage(words, h)) for t, h in _templates(family)), key=lambda x: (x[1], len(x[0])))
+@lru_cache(maxsize=1)
+def vocabulary() -> np.ndarray:
+    """The words of all licence texts."""
+    return np.unique(tb.words(pa.array([*(t for f in TEMPLATES.values() for t in f), *OTHER], pa.large_string())).hashes)
 
 
-def train(documents: DataFrame, sampled: int = SAMPLED_PARAGRAPHS, each: int = NOTICES, rounds: int = 60, seed: int = 7) -> Model:
-    """Fits the classifier on notices and a bounded hash sample of the corpus's paragraphs."""
+def templates(family: str) -> list[Template]:
+    """The templates of a family: their words, the places of each as bits, and the words that no other family's short ones have."""
+    if not _TEMPLATES:
+        made, held = {}, {}
+        for name, texts in TEMPLATES.items():
+            w = tb.words(pa.array(texts, pa.large_string()))
+            made[name] = [(t, w.hashes[a:b].tolist()) for t, a, b in zip(texts, w.offsets[:-1], w.offsets[1:])]
+            for _, words in made[name]:
+                for x in words if len(words) <= SHORT else ():
+                    held.setdefault(x, set()).add(name)
+        for name, texts in made.items():
+            _TEMPLATES[name] = []
+            for text, words in texts:
+                places: dict[int, int] = {}
+                for k, x in enumerate(words):
+                    places[x] = places.get(x, 0) | 1 << k
+                own = {x for x in words if held.get(x) == {name}} if len(words) <= SHORT else set()
+                title = " ".join(text.split()[:12])
+                _TEMPLATES[name].append(Template(title + " ..." * (len(words) > SHORT), words, places, own))
+    return _TEMPLATES[family]
+
+
+def common(words: list[int], t: Template) -> int:
+    """Length of the longest common subsequence with a template; its row is the bits of one integer."""
+    full = (1 << len(t.words)) - 1
+    row = full
+    for x in words:
+        hit = row & t.places.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(t.words) - row.bit_count()
+
+
+def matches(words: np.ndarray, t: Template, coverage: float = COVERAGE) -> list[tuple[int, int, int]]:
+    """Matched words, first and last word of the places that hold a template; they do not overlap."""
+    m, least = len(t.words), int(np.ceil(coverage * len(t.words) - 1e-9))
+    size = m + m // 4 + 3
+    inside = np.concatenate([[0], np.cumsum(np.isin(words, np.array(t.words, np.uint64)))])
+    begin = np.arange(0, max(1, len(words) - size + 1), max(1, m // 8))
+    if len(words) > size and begin[-1] != len(words) - size:
+        begin = np.append(begin, len(words) - size)
+    begin = begin[inside[np.minimum(begin + size, len(words))] - inside[begin] >= least]
+    found = [(common(words[a : a + size].tolist(), t), int(a)) for a in begin]
+    taken: list[tuple[int, int, int]] = []
+    for n, a in sorted((x for x in found if x[0] >= least), key=lambda x: (-x[0], x[1])):
+        part = words[a : a + size].tolist()
+        lo, hi = 0, len(part)
+        while common(part[lo + 1 : hi], t) == n:
+            lo += 1
+        while common(part[lo : hi - 1], t) == n:
+            hi -= 1
+        if t.own <= set(part[lo:hi]) and all(a + hi <= s or a + lo >= e for _, s, e in taken):
+            taken.append((n, a + lo, a + hi))
+    return taken
+
+
+# training
+
+
+def notices(rng: np.random.Generator, fillers: list[str], texts: list[str], many: int) -> Iterator[tuple[str, int, int]]:
+    """Notices made from some texts, among other words; the first and last word that are the notice's."""
+    for i in range(many):
+        words = texts[i % len(texts)].split()
+        if len(words) > 30 and i % 2:
+            n = int(rng.integers(20, len(words)))
+            a = int(rng.integers(len(words) - n))
+            words = words[a : a + n]
+        if len(words) > 4 and i % 3:
+            words = [x for x in words if rng.random() > 0.06]
+        if i % 4 == 1:
+            at = int(rng.integers(len(words) + 1))
+            words[at:at] = [fillers[int(k)] for k in rng.integers(len(fillers), size=int(rng.integers(1, 4)))]
+        before, after = ([fillers[int(k)] for k in rng.integers(len(fillers), size=int(rng.integers(0, 20)) * int(rng.random() < 0.6))] for _ in range(2))
+        yield " ".join([*before, *words, *after]), len(before), len(before) + len(words)
+
+
+def invented(rng: np.random.Generator, fillers: list[str], many: int) -> list[str]:
+    """Notices of licences that nobody knows."""
+    forms = ["Licensed under the {} License", "Released under the {} Public License version {}", "This work is licensed under the {} License {}", "Distributed under the terms of the {} licence"]
+    names = [" ".join(fillers[int(k)].strip(".,;:!?").capitalize() for k in rng.integers(len(fillers), size=int(rng.integers(1, 3)))) for _ in range(many)]
+    return [forms[i % len(forms)].format(name, int(rng.integers(1, 4))) for i, name in enumerate(names)]
+
+
+def train(documents: DataFrame, sampled: int = SAMPLED_PARAGRAPHS, each: int = NOTICES, rounds: int = 40, seed: int = 7) -> Model:
+    """Fits the classifier on notices and a bounded hash sample of the corpus's lines."""
     rows = [x for t in sample_texts(documents, "text", max(1, sampled // 10)) for x in t.split("\n") if x.strip()][:sampled]
     rng = np.random.default_rng(seed)
     fillers = sorted({w for x in rows[:2000] for w in x.split()[:20]}) or ["and"]
-    made, kinds = notices(rng, fillers, each)
+    made, kinds, spans, unseen = [], [], [], []
+    for k, family in enumerate(FAMILIES):
+        if k == 0:
+            continue
+        strange = family == "other"
+        parts = [(OTHER[::2] + invented(rng, fillers, 40), False), (OTHER[1::2] + invented(rng, fillers, 40), True)] if strange else [(TEMPLATES[family], False)]
+        for texts, apart in parts:
+            for text, a, b in notices(rng, fillers, texts, each * (3 if strange else 1)):
+                made.append(text), kinds.append(k), spans.append((a, b)), unseen.append(apart)
+    known = np.unique(features(paragraphs(pa.array([t for f in TEMPLATES.values() for t in f] + OTHER, pa.large_string())))[2])
     p = paragraphs(pa.array(rows, pa.large_string()))
-    known = features(paragraphs(pa.array([t for f in TEMPLATES.values() for t in f], pa.large_string())))[2]
     like = np.add.reduceat(np.isin(features(p)[2], known[known < 1 << BITS]), p.first) if len(p.first) else np.empty(0, np.int64)
     plain = [rows[r] for r, n in zip(p.row, like) if not n]
-    pieces = [(x.split(), int(rng.integers(1, 14))) for x in plain * 2]
+    pieces = [(x.split(), int(rng.integers(1, 14))) for x in plain]
     short = [" ".join(x[a : a + n]) for x, n in pieces for a in [int(rng.integers(0, max(1, len(x) - n + 1)))]]
-    stray = [w for f in TEMPLATES.values() for t in f for w in [" ".join(t.split()[i : i + 2]) for i in range(0, len(t.split()), 3)]]
-    mixed = [f"{fillers[int(rng.integers(len(fillers)))]} {w.split()[0]} {' '.join(fillers[int(k)] for k in rng.integers(len(fillers), size=5))}" for w in stray]
+    stray = [w for f in (*TEMPLATES.values(), OTHER) for t in f for w in t.split()[::3]]
+    mixed = [" ".join([*(fillers[int(k)] for k in rng.integers(len(fillers), size=5)), w, *(fillers[int(k)] for k in rng.integers(len(fillers), size=6))]) for w in stray]
     texts = made + plain + short + mixed
-    y = np.array(kinds + [0] * (len(texts) - len(kinds)))
     p = paragraphs(pa.array(texts, pa.large_string()))
-    y = y[p.row]
-    held = rng.random(len(y)) < 0.2
-    weight, bias = np.zeros(((1 << BITS) + 1, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES))
+    which, begin, end = windows(p.first, p.last)
+    row = p.row[which]
+    kinds, unseen = np.array(kinds + [0] * (len(texts) - len(kinds))), np.array(unseen + [False] * (len(texts) - len(unseen)))
+    words = [np.concatenate([[0], np.cumsum([sum(1 for _ in _tokens(x)) for x in t.split()])]) for t in made]
+    low = np.array([words[i][a] for i, (a, _) in enumerate(spans)] + [0] * (len(texts) - len(made)))
+    high = np.array([words[i][b] for i, (_, b) in enumerate(spans)] + [0] * (len(texts) - len(made)))
+    base = p.w.offsets[:-1][row]
+    own = np.maximum(0, np.minimum(end - base, high[row]) - np.maximum(begin - base, low[row]))
+    y = np.where(own > 0, kinds[row], 0)
+    use = (own == 0) | (own >= np.minimum(5, (high - low)[row]))  # windows that just touch a notice teach nothing
+    turn = rng.random(len(y))
+    use &= turn < np.where(y > 0, 0.4, min(1.0, 15_000 / max(1, int((y == 0).sum()))))
+    begin, end, y, apart = begin[use], end[use], y[use], unseen[row[use]] & (y[use] > 0)
+    held = (np.random.default_rng(seed + 1).random(len(y)) < 0.2) | apart
     f = features(p)
-    part = np.repeat(np.arange(len(p.first)), p.last - p.first)
-    used, slot = np.unique(f, return_inverse=True)
-    slot = slot.reshape(f.shape)
-    small, grad_square = np.zeros((len(used), len(FAMILIES))), np.full((len(used), len(FAMILIES)), 1e-6)
-    scale = 1 / np.sqrt(p.last - p.first)
-    target = np.eye(len(FAMILIES))[y]
-    counts = np.bincount(y, minlength=len(FAMILIES))
-    share = np.where(held, 0.0, 1 / np.maximum(counts[y], 1))[:, None] * len(y) / len(FAMILIES)
+    size = end - begin
+    token = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    part, fit = np.repeat(np.arange(len(y)), size), ~held
+    used, slot = np.unique(f[:, token], return_inverse=True)
+    slot = slot.reshape(3, len(token))
+    edge = np.cumsum(size) - size
+    classes = len(FAMILIES)
+    small, grad_square, bias = np.zeros((len(used), classes), np.float32), np.full((len(used), classes), 1e-6, np.float32), np.zeros(classes)
+    scale, target = 1 / np.sqrt(size), np.eye(classes)[y]
+    counts = np.bincount(y[fit], minlength=classes)
+    share = np.where(held, 0.0, 1 / np.maximum(counts[y], 1))[:, None] * len(y) / classes
     for _ in range(rounds):
-        s = np.add.reduceat(small[slot[0]] + small[slot[1]] + small[slot[2]], p.first, axis=0) * scale[:, None] + bias
+        s = np.add.reduceat(small[slot[0]] + small[slot[1]] + small[slot[2]], edge, axis=0) * scale[:, None] + bias
         d = (_softmax(s) - target) * share
         spread = (d * scale[:, None])[part]
-        g = np.zeros_like(small)
-        for k in range(3):
-            for c in range(len(FAMILIES)):
+        g = 1e-4 * small
+        for c in range(classes):
+            for k in range(3):
                 g[:, c] += np.bincount(slot[k], weights=spread[:, c], minlength=len(used))
         g[used == 1 << BITS] = 0
-        g += 1e-4 * small
         grad_square += g * g
         small -= 0.5 * g / np.sqrt(grad_square)
         bias -= 0.05 * d.sum(0) / np.sqrt(len(y))
+    weight = np.zeros(((1 << BITS) + 1, classes), np.float32)
     weight[used] = small
     weight[1 << BITS] = 0
-    s = scores(p, weight, bias)[held]
-    temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: -float(np.log(_softmax(s / t)[np.arange(len(s)), y[held]] + 1e-12).mean()))
-    top = _softmax(s / temperature)[:, 1:].max(1)
-    true = np.sort(top[y[held] > 0])
-    noise = top[y[held] == 0]
-    low, high = (float(true[int(0.01 * len(true))]) if len(true) else 0.5), float(noise.max()) if len(noise) else 0.0
+    m = Model(weight, bias, 1.0, 0.5, 0.5)
+    begin, end, y, apart = begin[held], end[held], y[held], apart[held]
+    odds = np.log(probabilities(p, begin, end, m) + 1e-30)
+    m.temperature = min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: -float(np.log(_softmax(odds / t)[np.arange(len(y)), y] + 1e-12).mean()))
+    q = _softmax(odds / m.temperature)
+    some = 1 - q[:, 0]
+    true, noise = np.sort(some[(y > 0) & ~apart]), np.sort(some[y == 0])
+    low, high = (float(true[int(0.02 * len(true))]) if len(true) else 0.5), float(noise[int(0.998 * len(noise))]) if len(noise) else 0.0
+    m.bar = float(np.clip((low + high) / 2, 0.5, 0.9))
+    strange = np.sort(q[apart, 1:-1].max(1)) if apart.any() else np.array([0.5])
+    m.sure = float(np.clip(strange[int(0.8 * len(strange))], 0.3, 0.8))
     release()
-    return Model(weight, bias, temperature, float(np.clip((low + high) / 2, 0.5, 0.9)))
+    return m
+
+
+def _tokens(text: str) -> Iterator[str]:
+    """The tokens of a word as ``textbatch`` has them."""
+    run = "".join(c if ord(c) > 127 or c.isalnum() or c == "_" else " " for c in text)
+    yield from run.split()
+
+
+# scanning
+
+
+def _regions(which: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of windows of one paragraph that overlap or touch."""
+    if len(which):
+        edge = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (begin[1:] > end[:-1])]))
+        yield from (np.arange(a, b) for a, b in zip(edge, np.append(edge[1:], len(which))))
+
+
+def find(p: Paragraphs, m: Model, coverage: float = COVERAGE) -> list[tuple[int, int, int, str, float, str | None, float]]:
+    """Paragraph, first and last token, family, probability, template and coverage of the notices of some paragraphs."""
+    which, begin, end = windows(p.first, p.last)
+    q = probabilities(p, begin, end, m)
+    hit = np.flatnonzero(1 - q[:, 0] >= m.bar)
+    which, begin, end, q, out = which[hit], begin[hit], end[hit], q[hit], []
+    for part in _regions(which, begin, end):
+        k, a, b = int(which[part[0]]), int(begin[part[0]]), int(end[part[-1]])
+        lo, hi = max(int(p.first[k]), a - WINDOW), min(int(p.last[k]), b + WINDOW)
+        words, best = p.w.hashes[lo:hi], q[part].max(0)
+        found = []
+        for c in np.argsort(-best[1:-1], kind="stable")[:5] + 1:
+            if best[c] < 0.02:
+                break
+            for t in templates(FAMILIES[c]):
+                for n, s, e in matches(words, t, coverage):
+                    near = best[c] if len(part) == 1 else q[part[(begin[part] < lo + e) & (end[part] > lo + s)], c].max(initial=0.0)
+                    found.append((-n, -n / len(t.words), FAMILIES[c], lo + s, lo + e, float(near), t.name))
+        taken = []
+        for n, cover, family, s, e, chance, name in sorted(found):
+            if all(e <= x[1] or s >= x[2] for x in taken):
+                taken.append((k, s, e, family, chance, name, -cover))
+        kept = [x if x[4] >= m.sure else (*x[:3], "unknown", *x[4:]) for x in taken]
+        free = np.array([all(begin[i] >= x[2] + WINDOW or end[i] <= x[1] - WINDOW for x in taken) for i in part])
+        for rest in _regions(which[part[free]], begin[part[free]], end[part[free]]):
+            rest = part[free][rest]
+            if len(np.intersect1d(p.w.hashes[begin[rest[0]] : end[rest[-1]]], vocabulary())) < UNKNOWN_WORDS:
+                continue
+            kept.append((k, int(begin[rest[0]]), int(end[rest[-1]]), "unknown", float((1 - q[rest, 0]).max()), None, 0.0))
+        out += sorted(kept, key=lambda x: x[1:3])
+    return out
 
 
 def scan(documents: DataFrame, model: Model, coverage: float = COVERAGE) -> DataFrame:
-    """A row for each paragraph that the classifier takes for a notice; ``family`` is ``unknown`` where no template confirms it."""
+    """A row for each notice; ``family`` is ``unknown``, without a template, where none confirms one."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for part in tb.chunks(batches, "text"):
+        for part in tb.chunks(batches, "text", 1 << 20):
             p = paragraphs(pc.fill_null(part.column("text"), ""))
-            if not len(p.first):
-                continue
-            q = _softmax(scores(p, m.weight, m.bias) / m.temperature)
-            hit = np.flatnonzero(q[:, 1:].max(1) >= m.bar)
-            if not len(hit):
+            found = find(p, shared.value, coverage) if len(p.first) else []
+            if not found:
                 continue
             chars, ids, made = tb.code_points_before(p.w.data), part.column("doc_id").to_pylist(), []
-            for k in hit.tolist():
-                a, b, r = int(p.first[k]), int(p.last[k]), int(p.row[k])
-                best = 1 + int(np.argmax(q[k, 1:]))
-                template, found = confirm(p.w.hashes[a:b].tolist(), FAMILIES[best])
-                base = chars[p.w.row_bytes[r]]
-                made.append((ids[r], int(p.number[k]), int(chars[p.w.starts[a]] - base), int(chars[p.w.ends[b - 1]] - base), FAMILIES[best] if found >= coverage else "unknown", float(q[k, best]), template, found))
+            for k, a, b, family, chance, template, cover in found:
+                base = chars[p.w.row_bytes[p.row[k]]]
+                made.append((ids[p.row[k]], int(p.number[k]), int(chars[p.w.starts[a]] - base), int(chars[p.w.ends[b - 1]] - base), family, chance, template, cover))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*made), _FIELDS)], names=[n for n, _ in _FIELDS])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
