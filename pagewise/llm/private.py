@@ -7,7 +7,8 @@ spans made by templates in sentences of a bounded sample of the corpus, half of
 (versions, dates, prices, order numbers, hashes in paths, decorators). Each kind's threshold is calibrated on
 held-out spans: the least probability with a precision of ``PRECISION``.
 
-Only lines with a digit, an at sign, an equals sign or a colon can hold a candidate, so others are skipped at once.
+Only lines with a digit of any script, an at sign, an equals sign or a colon can hold a candidate, so others are
+skipped at once. Generators take time in proportion to a line, however long it is.
 
 Defined results: null and empty texts have no spans; each accepted span of each row gives one row, repeated rows
 too; a null id stays null; extra columns play no part; an empty table gives an empty result. Offsets count code points.
@@ -15,6 +16,7 @@ too; a null id stays null; extra columns play no part; an empty table gives an e
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import string
@@ -29,21 +31,26 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 from .shared import sample_texts
 
-SAMPLED_TEXTS, MADE, PRECISION = 300, 6000, 0.98
+SAMPLED_TEXTS, MADE, PRECISION = 300, 9000, 0.98
 SCHEMA = "doc_id bigint, start int, end int, kind string, text string, probability double"
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("probability", pa.float64())]
 
 GENERATORS: dict[str, re.Pattern] = {
     "card": re.compile(r"(?<![\w.])\d(?:[ -]?\d){11,18}(?!\w)"),
-    "email": re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"),
+    "email": re.compile(r"@[\w-]++(?:\.[\w-]++)++"),  # what is before the sign is looked for from there
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\d)"),
+    "ipv6": re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,39}?(?:::|(?::[0-9A-Fa-f]{1,4}){5}))(?:[0-9A-Fa-f]{1,4}|:)(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}(?:::)?(?![\w:])"),
     "key": re.compile(r"\b(?=[A-Za-z0-9_]*\d)(?=[A-Za-z0-9_]*[A-Za-z])[A-Za-z0-9_]{16,}\b"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w.]*\d)"),
+    "phone_plain": re.compile(r"(?<![\w.])(?:\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}|\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|0\d(?:[ .]?\d\d){4})(?![\w.]*+\d)(?!\w)"),
     "secret": re.compile(r"(?<=[=:])[ ]?[\"']?[^\s\"']{6,}"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
 }
 KINDS = tuple(sorted(GENERATORS))
+#: Kinds under the name that results have for them.
+NAMES = {"phone_plain": "phone", "ipv6": "ip"}
+_USER = re.compile(r"[\w.+%-]")
 _HINTS = {
     "secret": ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "auth", "credential"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp"),
@@ -66,6 +73,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for kind in KINDS:
         for m in GENERATORS[kind].finditer(text):
             a, b = m.span()
+            if kind == "email":
+                while a and _USER.match(text[a - 1]):
+                    a -= 1
+                if a == m.start():
+                    continue
             if kind == "secret":
                 while a < b and text[a] in " \"'":
                     a += 1
@@ -79,7 +91,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
 def describe(text: str, a: int, b: int, kind: str) -> list[float]:
     """Features of the format of a span and of the words around it."""
     span, before, after = text[a:b], text[max(0, a - 40) : a].lower(), text[b : b + 20].lower()
-    digits = "".join(c for c in span if c in string.digits)
+    digits = "".join(str(int(c)) for c in re.findall(r"\d", span))
     counts = {c: span.count(c) for c in set(span)}
     entropy = -sum(n / len(span) * math.log2(n / len(span)) for n in counts.values())
     words = re.findall(r"[a-z_]+", before)
@@ -103,6 +115,9 @@ def describe(text: str, a: int, b: int, kind: str) -> list[float]:
         span.count("."),
         span.count("-"),
         span.count("@"),
+        span.count(":"),
+        float(span[:1].isalpha() and span[-1:].isdigit()),
+        float(len(set(span) - set(string.ascii_letters + string.digits + " .-:"))),
         float(bool(re.fullmatch(r"[0-9a-f]+", span))),
         float(bool(re.match(r"(AKIA|ghp_|sk_|sk-|xox|eyJ|AIza)", span))),
         float(before[-1:] == "="),
@@ -192,6 +207,18 @@ def private_span(rng: np.random.Generator, kind: str) -> tuple[str, str]:
         form = int(rng.integers(5))
         a, b, c = _number(rng, 200, 999), _number(rng, 200, 999), _pick(rng, digits, 4)
         return str(rng.choice(["", "", "tel ", "phone: ", "call "])), [f"+{_number(rng, 1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{_number(rng, 1, 99)} {a} {b} {c}", f"{a}-{b}-{c}", f"+{_number(rng, 1, 99)}-{a}-{b}-{c}"][form]
+    if kind == "phone_plain":
+        form = int(rng.integers(6))
+        a, b, c = _number(rng, 200, 999), _number(rng, 200, 999), _pick(rng, digits, 4)
+        lead = str(rng.choice(["tel ", "phone: ", "call ", "mobile ", "Tel.: ", "fax "]))
+        if form < 3:
+            span = [f"+{_number(rng, 1, 99)}{a}{b}{c}", f"+33 {_number(rng, 1, 9)} " + " ".join(_pick(rng, digits, 2) for _ in range(4)), f"+{_number(rng, 1, 99)} {_number(rng, 1, 99)} {_pick(rng, digits, 4)} {c}"][form]
+            return str(rng.choice(["", lead])), span
+        return lead, [f"{a}{b}{c}", f"{a}.{b}.{c}", "0" + _number(rng, 1, 9) + " " + " ".join(_pick(rng, digits, 2) for _ in range(4))][form - 3]
+    if kind == "ipv6":
+        words = [_pick(rng, hexes, int(rng.integers(1, 5))) for _ in range(8)]
+        cut = int(rng.integers(1, 6))
+        return str(rng.choice(["", "from ", "host ", "addr: "])), [":".join(words), ":".join(["2001", "db8", *words[2:]]), "fe80::" + ":".join(words[:cut]), ":".join(words[:cut]) + "::" + words[7]][int(rng.integers(4))]
     if kind == "ip":
         return str(rng.choice(["", "", "from ", "host "])), ".".join(_number(rng, 1, 255) for _ in range(4))
     if kind == "card":
@@ -206,7 +233,8 @@ def private_span(rng: np.random.Generator, kind: str) -> tuple[str, str]:
         return str(rng.choice(["", "ssn "])), f"{_number(rng, 100, 899)}-{_number(rng, 10, 99)}-{_number(rng, 1000, 9999)}"
     if kind == "key":
         return "", [f"AKIA{_pick(rng, string.ascii_uppercase + digits, 16)}", f"ghp_{_pick(rng, string.ascii_letters + digits, 36)}", f"sk_live_{_pick(rng, string.ascii_letters + digits, 24)}"][int(rng.integers(3))]
-    value = [_pick(rng, hexes, int(rng.integers(16, 41))), _pick(rng, string.ascii_letters + digits, int(rng.integers(8, 33)))][int(rng.integers(2))]
+    chosen = _pick(rng, lower, int(rng.integers(4, 9))) + str(rng.choice(["", "", "", "!", "_"])) + _pick(rng, digits, int(rng.integers(1, 5)))
+    value = [_pick(rng, hexes, int(rng.integers(16, 41))), _pick(rng, string.ascii_letters + digits, int(rng.integers(8, 33))), chosen][int(rng.integers(3))]
     name = str(rng.choice(["password", "token", "secret", "api_key", "pwd", "auth_token"]))
     return str(rng.choice([f"{name}=", f'{name} = "', f"{name}: ", f"{name}='"])), value
 
@@ -214,7 +242,8 @@ def private_span(rng: np.random.Generator, kind: str) -> tuple[str, str]:
 def public_span(rng: np.random.Generator) -> tuple[str, str]:
     """Words before a look-alike that is not private, and the look-alike."""
     digits, hexes = string.digits, "0123456789abcdef"
-    form = int(rng.integers(12))
+    form = int(rng.integers(20))
+    clock = f"{int(rng.integers(24)):02d}:{int(rng.integers(60)):02d}:{int(rng.integers(60)):02d}"
     year, month, day = _number(rng, 1900, 2030), f"{int(rng.integers(1, 13)):02d}", f"{int(rng.integers(1, 29)):02d}"
     return [
         ("version ", ".".join(_number(rng, 0, 30) for _ in range(4))),
@@ -229,6 +258,14 @@ def public_span(rng: np.random.Generator) -> tuple[str, str]:
         ("class=", _pick(rng, string.ascii_lowercase, int(rng.integers(6, 12)))),
         ("scores ", f"{_number(rng, 10, 99)} {_number(rng, 10, 99)} {_number(rng, 10, 99)}"),
         ("ratio: ", f"{_number(rng, 10, 99)}.{_pick(rng, digits, 5)}"),
+        (str(rng.choice(["order ", "invoice ", "ref ", "item ", "", "", "id "])), _pick(rng, digits, 10)),
+        (str(rng.choice(["at ", "", "since "])), clock),
+        ("on ", f"{year}-{month}-{day} {clock}"),
+        (str(rng.choice(["note: ", "see: ", "he said: ", "token: ", "password: "])), _pick(rng, string.ascii_lowercase, int(rng.integers(6, 12)))),
+        (str(rng.choice(["chapter ", "verses ", ""])), f"{_number(rng, 1, 150)}:{_number(rng, 1, 60)}:{_number(rng, 1, 60)}"),
+        (str(rng.choice(["", "about ", "some "])), f"{_number(rng, 1, 999)} {_pick(rng, digits, 3)} {_pick(rng, digits, 3)} {_pick(rng, digits, 3)}"),
+        (str(rng.choice(["timestamp ", "seed ", "build ", "page "])), f"1{_pick(rng, digits, 9)}"),
+        (str(rng.choice(["std", "boost", "a"])) + "::", str(rng.choice(["abc", "fade", "cafe", "vector", "dead::beef"]))),
     ][form]
 
 
@@ -247,7 +284,7 @@ def train(documents: DataFrame, sampled: int = SAMPLED_TEXTS, made: int = MADE,
         for a, b, found in candidates(text):
             if a < end and b > end - len(span):  # parts of a private span are not private spans themselves
                 x.append(describe(text, a, b, found))
-                y.append(float(i % 2 == 0 and a == end - len(span) and b == end and (found == kind or kind == "key" and found == "secret")))
+                y.append(float(i % 2 == 0 and a == end - len(span) and b == end and (NAMES.get(found, found) == NAMES.get(kind, kind) or kind == "key" and found == "secret")))
                 kinds.append(found)
     x, y, kinds = np.array(x), np.array(y), np.array(kinds)
     held = rng.random(len(y)) < 0.25
@@ -260,11 +297,12 @@ def train(documents: DataFrame, sampled: int = SAMPLED_TEXTS, made: int = MADE,
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The least probability, from 0.2 on, from which the precision is ``PRECISION``; 0.5 if there is none."""
+    """Between the least probability from which the precision is ``PRECISION`` and the next one, from 0.2 on; 0.5 if there is none."""
     order = np.argsort(-p, kind="stable")
     precision = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
     good = np.flatnonzero(precision >= PRECISION)
-    return float(max(0.2, p[order][good[-1]])) if len(good) else 0.5
+    ranked = np.append(p[order], 0.0)
+    return float(max(0.2, (ranked[good[-1]] + ranked[good[-1] + 1]) / 2)) if len(good) else 0.5
 
 
 def _accept(found: list[tuple[int, int, str]], p: np.ndarray, thresholds: dict[str, float]) -> list[tuple[int, int, str, float]]:
@@ -272,12 +310,13 @@ def _accept(found: list[tuple[int, int, str]], p: np.ndarray, thresholds: dict[s
     best = sorted(((a, b, k, float(v)) for (a, b, k), v in zip(found, p) if v >= thresholds[k]), key=lambda s: (-s[3], s[0] - s[1], s[0], s[2]))
     taken: list[tuple[int, int, str, float]] = []
     for s in best:
-        if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
-            taken.append(s)
-    return sorted(taken)
+        k = bisect.bisect(taken, s)
+        if (not k or taken[k - 1][1] <= s[0]) and (k == len(taken) or s[1] <= taken[k][0]):
+            taken.insert(k, s)
+    return [(a, b, NAMES.get(k, k), p) for a, b, k, p in taken]
 
 
-_MAYBE = re.compile(r"[0-9@=:]")
+_MAYBE = re.compile(r"[\d@=:]")
 
 
 def _lines(text: str) -> Iterator[tuple[int, str]]:
