@@ -3,8 +3,11 @@
 Labels exist for documents only, so labelled tokens are made first: in documents labelled toxic, a token is taken
 as toxic where its word or a beginning of it is found in many of those documents and in next to none of the clean
 ones. The field (two labels, features: word, first four and first five bytes) is fitted to these tokens on the
-driver, on a sample bounded by ``max_toxic`` and ``max_clean`` documents. Scoring needs no shuffle: one pass over
-the scan runs the exact forward-backward recursion on whole texts.
+driver, on a sample bounded by ``max_toxic`` and ``max_clean`` documents of at most ``max_chars`` characters each. The
+score from which a document is toxic is calibrated on documents held out: each half of the sample is scored by a field
+fitted to the other. Scoring needs no shuffle: one pass over the scan runs the exact forward-backward recursion on
+whole texts. A document's score is the sum, over its different words, of their largest marginals, where these are
+``LEAST_MARGINAL`` or more: what is less says nothing, and would add up in a long text.
 
 Defined results: a null or empty text has score 0, no spans and is clean; every input row gives one output row,
 repeated rows too; a null id stays null; without labelled documents of both kinds nothing is toxic; offsets count
@@ -27,7 +30,8 @@ from .shared import release
 
 BITS = 18
 SIZE = 1 << BITS
-MAX_TOXIC, MAX_CLEAN = 600, 1200
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 600, 1200, 200_000
+LEAST_MARGINAL = 0.05
 SCHEMA = "doc_id bigint, score double, toxic int, spans array<struct<start:int,end:int,marginal:double>>"
 _ARROW = pa.schema(
     [
@@ -150,7 +154,7 @@ def marginals(field: Field, w: tb.Words) -> np.ndarray:
     return x / (1.0 + x)
 
 
-def document_scores(p: np.ndarray, w: tb.Words, least: float = 0.05) -> np.ndarray:
+def document_scores(p: np.ndarray, w: tb.Words, least: float = LEAST_MARGINAL) -> np.ndarray:
     """The expected number of different toxic words of each row: of a word that repeats, the largest marginal counts."""
     out = np.zeros(len(w.offsets) - 1)
     at = np.flatnonzero(p >= least)
@@ -224,13 +228,28 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 100, rate: float = 0.5
     y_doc = np.array(toxic, bool)
     if not y_doc.any() or y_doc.all():
         return None
-    w = tb.words(pa.array([t or "" for t in texts], pa.large_string()))
-    single = _singles(w)
-    if not single.all():
-        texts, y_doc = [t for t, s in zip(texts, single) if s], y_doc[single]
-        w = tb.words(pa.array([t or "" for t in texts], pa.large_string()))
+    single = _singles(tb.words(pa.array([t or "" for t in texts], pa.large_string())))
+    texts, y_doc = [t for t, s in zip(texts, single) if s], y_doc[single]
+    field = _fit(texts, y_doc, rounds, rate, decay)
+    if field is not None:
+        held = np.full(len(texts), np.nan)
+        for half in (0, 1):
+            side = np.cumsum(y_doc) % 2 == half
+            side[~y_doc] = (np.cumsum(~y_doc) % 2 == half)[~y_doc]
+            other = _fit([t for t, s in zip(texts, side) if not s], y_doc[~side], rounds, rate, decay)
+            if other is not None and side.any():
+                w = tb.words(pa.array([t or "" for t, s in zip(texts, side) if s], pa.large_string()))
+                held[side] = document_scores(marginals(other, w), w)
+        known = ~np.isnan(held)
+        if y_doc[known].any():
+            field.threshold = _threshold(held[known], y_doc[known])
+    return field
+
+
+def _fit(texts: list[str], y_doc: np.ndarray, rounds: int, rate: float, decay: float) -> Field | None:
     if not y_doc.any() or y_doc.all():
         return None
+    w = tb.words(pa.array([t or "" for t in texts], pa.large_string()))
     f, keys = features(w)
     y, strong = token_labels(f, keys, w, y_doc)
     if not y.any():
@@ -264,13 +283,11 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 100, rate: float = 0.5
         theta += rate / np.sqrt(step) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         theta[3 * SIZE] = 0.0
         theta[: 3 * SIZE + 1][mute] = np.minimum(theta[: 3 * SIZE + 1][mute], 0.0)
-    field = Field(theta[: 3 * SIZE + 1].astype(np.float32), float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2).copy(), 0.5, known)
-    field.threshold = _threshold(document_scores(marginals(field, w), w), y_doc)
-    return field
+    return Field(theta[: 3 * SIZE + 1].astype(np.float32), float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2).copy(), 0.5, known)
 
 
 def _threshold(score: np.ndarray, toxic: np.ndarray) -> float:
-    """The score of best F1 on the sample, between the two scores next to it, kept within 0.5 and 2."""
+    """The score of best F1, between the two scores next to it, kept within 0.5 and 2."""
     order = np.argsort(-score, kind="stable")
     hit = np.cumsum(toxic[order])
     f1 = 2 * hit / (np.arange(1, len(order) + 1) + toxic.sum())
@@ -279,12 +296,13 @@ def _threshold(score: np.ndarray, toxic: np.ndarray) -> float:
     return float(np.clip((score[order[k]] + low) / 2, 0.5, 2.0))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field | None:
-    """Fits the field to a bounded sample of labelled rows, drawn by a hash of the id."""
+def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> Field | None:
+    """Fits the field to a bounded sample of labelled rows, drawn by a hash of the id; each id is drawn with one text."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = lambda kind, n: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = part(1, max_toxic).unionByName(part(0, max_clean))
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
+    texts = documents.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(sample), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     field = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
     del rows
