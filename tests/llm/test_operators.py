@@ -1,4 +1,7 @@
 import random
+import re
+import textwrap
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -134,13 +137,25 @@ def test_licences(spark):
     texts = [(i, prose(i, 120)) for i in range(30)]
     model = licences.train(documents(spark, texts))
     rng = np.random.default_rng(5)
-    made, kinds = licences.notices(rng, ["balein", "tores"], 20)
-    p = licences.paragraphs(pa.array(made))
-    best = licences.scores(p, model.weight, model.bias)[:, 1:].argmax(1) + 1
-    assert (best == np.array(kinds)).mean() > 0.95
+    named = right = 0
+    for family in licences.TEMPLATES:
+        for text, a, b in licences.notices(rng, ["balein", "tores", "quzon"], licences.TEMPLATES[family], 12):
+            found = licences.find(licences.paragraphs(pa.array([text])), model)
+            named, right = named + bool(found), right + (family in {x[3] for x in found})
+    assert named >= 0.93 * 12 * len(licences.TEMPLATES) and right >= 0.85 * 12 * len(licences.TEMPLATES)
+    wrap = lambda text, n: "\n".join(textwrap.wrap(text, n))
+    mit, bsd, gpl = licences.TEMPLATES["mit"][3], licences.TEMPLATES["bsd"][4], licences.TEMPLATES["gpl"][4]
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance\nwith the License."
+    long = prose(3, 300).replace("\n", " ")
+    for text, family in ((wrap(mit, 75), "mit"), (mit, "mit"), (f"{long} {mit} {long}", "mit"), (wrap(bsd, 60), "bsd"), (apache, "apache-2.0"), ("# " + wrap(gpl, 70).replace("\n", "\n# "), "gpl"), ("CC BY-ND 4.0 holds: Licensed under CC BY-ND 4.0", "cc-by-nd")):
+        assert [x[3] for x in licences.find(licences.paragraphs(pa.array([text])), model)] == [family]
+    for text in (wrap(licences.OTHER[0], 70), wrap(licences.OTHER[1], 70), "Licensed under the Foo License"):
+        assert [x[3] for x in licences.find(licences.paragraphs(pa.array([text])), model)] == ["unknown"]
     notice = "Released under the MIT License."
     df = documents(spark, [*HARD, (50, prose(5, 40) + "\n" + notice + "\nbale"), (51, notice), (51, notice), (None, "Licensed under CC BY-NC 4.0.")])
-    found = [r for r in licences.scan(df, model).collect() if r.family != "unknown"]
+    rows = licences.scan(df, model).collect()
+    assert {r.doc_id for r in rows} <= {50, 51, None}
+    found = [r for r in rows if r.family != "unknown"]
     assert sorted((str(r.doc_id), r.family) for r in found) == [("50", "mit"), ("51", "mit"), ("51", "mit"), ("None", "cc-by-nc")]
     (row,) = [r for r in found if r.doc_id == 50]
     text = prose(5, 40) + "\n" + notice + "\nbale"
@@ -148,6 +163,28 @@ def test_licences(spark):
     assert licences.scan(df.limit(0), licences.train(df.limit(0))).count() == 0
 
 
+def test_licence_paragraphs_and_common_words_by_brute_force():
+    text = "a b\nc\n\n \nd e\n***\nf\n\n" + "g " * 40
+    p = licences.paragraphs(pa.array([text, None, "x"]))
+    words = [w for t in (text, "", "x") for w in t.split() if w.isalnum()]
+    assert [words[a:b] for a, b in zip(p.first, p.last)] == [["a", "b", "c"], ["d", "e"], ["f"], ["g"] * 40, ["x"]]
+    assert p.row.tolist() == [0, 0, 0, 0, 2] and p.number.tolist() == [0, 1, 2, 3, 0]
+    which, begin, end = licences.windows(p.first, p.last)
+    for k, (a, b) in enumerate(zip(p.first, p.last)):
+        mine = which == k
+        assert begin[mine].min() == a and end[mine].max() == b and (end - begin)[mine].max() <= licences.WINDOW
+    rng = np.random.default_rng(1)
+    t = licences.templates("bsd")[4]
+    for _ in range(50):
+        some = [int(x) for x in rng.choice(t.words, 25)]
+        best = [0] * (len(t.words) + 1)
+        for x in some:
+            before = best[:]
+            for j, y in enumerate(t.words, 1):
+                best[j] = before[j - 1] + 1 if x == y else max(before[j], best[j - 1])
+        assert licences.common(some, t) == best[-1]
+
+
 # BPE
 
 
@@ -212,6 +249,23 @@ def test_forward_backward_against_enumeration():
         assert np.allclose(p[lo : lo + 3], hit / total)
 
 
+def naive_toxicity(field, text):
+    w = tb.words(pa.array([text]))
+    e = np.exp(np.clip(toxicity.emissions(toxicity._apart(*toxicity.features(w), field.keys), field.weight, field.bias), -40, 40))
+    move, n = np.exp(field.move), len(e)
+    f, b = np.zeros((n, 2)), np.ones((n, 2))
+    for i in range(n):
+        f[i] = np.array([1.0, np.exp(field.begin) * e[0]]) if i == 0 else (f[i - 1] @ move) * [1.0, e[i]]
+        f[i] /= f[i].sum()
+    for i in range(n - 2, -1, -1):
+        b[i] = move @ (b[i + 1] * [1.0, e[i + 1]])
+        b[i] /= b[i].sum()
+    p, best = f * b, {}
+    for x, (no, yes) in zip(re.findall(r"[a-z0-9_]+", text.lower()), p):
+        best[x] = max(best.get(x, 0.0), yes / (no + yes))
+    return sum(v for v in best.values() if v >= toxicity.LEAST_MARGINAL)
+
+
 def test_toxicity(spark):
     bad = ["vilex", "krumbo", "snarfy"]
     texts = [(i, prose(i, 60) + (" " + " ".join(f"{prose(i * 31 + k, 2)} {w}" for k, w in enumerate(bad)) if i % 4 == 0 else "")) for i in range(160)]
@@ -228,6 +282,8 @@ def test_toxicity(spark):
     assert len(scored) == len(HARD) and all(r.toxic == 0 for r in scored if r.doc_id in (1, 2, 3))
     assert toxicity.keep_clean(hard, field).columns == hard.columns
     assert {r.doc_id for r in toxicity.keep_clean(df, field).collect()} == {i for i in rows if not rows[i].toxic}
+    for i in (4, 5, 120, 124, 131):
+        assert rows[i].score == pytest.approx(naive_toxicity(field, texts[i][1]), abs=1e-6)
     assert toxicity.train(df, labels.limit(0)) is None
     assert {r.toxic for r in toxicity.score(hard, None).collect()} == {0}
     assert toxicity.score(hard.limit(0), field).count() == 0
@@ -248,6 +304,14 @@ def test_private_data(spark):
         lead, span = private.public_span(rng)
         wrong += bool(private.find(f"{prose(i, 6)} {lead}{span} {prose(i + 1, 5)}", forest))
     assert right >= 0.93 * 300 and wrong <= 0.06 * 300
+    usual = {
+        "password: hunter22": "hunter22", "phone ٠٦١٢-٣٤٥-٦٧٨٩": "٠٦١٢-٣٤٥-٦٧٨٩", "call +14155552671 now": "+14155552671", "tel 4155552671": "4155552671",
+        "at +33 6 12 34 56 78 ok": "+33 6 12 34 56 78", "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 x": "2001:0db8:85a3:0000:0000:8a2e:0370:7334",
+    }
+    for text, span in usual.items():
+        assert [text[a:b] for a, b, _, _ in private.find(text, forest)] == [span]
+    for text in ("at 12:34:56", "see std::cafe", "version 1.2.3.4", "on 2020-01-02"):
+        assert private.find(text, forest) == []
     text = "mail ab.cd@mail.example.com ok"
     rows = private.scan(documents(spark, [*HARD, (60, text), (60, text), (None, "x\nfrom 12.34.56.78 so")]), forest).collect()
     got = sorted((str(r.doc_id), r.text, r.kind) for r in rows)
@@ -256,6 +320,34 @@ def test_private_data(spark):
     assert private.scan(documents(spark, HARD).limit(0), private.train(documents(spark, HARD).limit(0))).count() == 0
 
 
+def test_private_data_by_brute_force(spark):
+    texts = [(i, f"{prose(i, 30)}\nmail u{i}.x@host{i}.org and call +1 (212) 555-{1000 + i}, v1.2.3.{i}\n{prose(i, 9)}") for i in range(25)]
+    forest = private.train(documents(spark, texts))
+    want = []
+    for i, text in texts:
+        at = 0
+        for line in text.split("\n"):
+            spans = [(a, b, k, forest.probability(np.array([private.describe(line, a, b, k)]))[0]) for a, b, k in private.candidates(line)]
+            taken = []
+            for a, b, k, p in sorted((s for s in spans if s[3] >= forest.thresholds[s[2]]), key=lambda s: (-s[3], s[0] - s[1], s[0], s[2])):
+                if not any(a < t[1] and t[0] < b for t in taken):
+                    taken.append((a, b))
+                    want.append((i, at + a, at + b, private.NAMES.get(k, k)))
+            at += len(line) + 1
+    assert sorted((r.doc_id, r.start, r.end, r.kind) for r in private.scan(documents(spark, texts), forest).collect()) == sorted(want)
+    assert len(want) >= 50
+
+
+def test_private_data_takes_linear_time():
+    n = 1 << 20
+    for piece in ("a", "a@", "@", "1", "1 ", "1.", "=", "a:", "::", "x@y.z "):
+        began = time.process_time()
+        private.candidates(piece * (n // len(piece)))
+        assert time.process_time() - began < 6
+    spans = [(8 * i, 8 * i + 5, "email") for i in range(100_000)]
+    assert len(private._accept(spans, np.full(len(spans), 0.9), {"email": 0.5})) == len(spans)
+
+
 # decontamination
 
 
