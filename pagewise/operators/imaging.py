@@ -1,45 +1,63 @@
-"""Pixel operators over rows of raw pages: checks of ink and contrast, image features, and photometric degradations.
+"""Pixel operators over rows of raw pages: checks of ink and contrast, image features, and degradations.
 
 A page is ``width``, ``height`` and ``pixels``: one byte a pixel, grey, row by row. Work is done in Arrow batches with
-numpy; a batch holds few pages, so set ``spark.sql.execution.arrow.maxRecordsPerBatch`` low for large pages.
-Rows whose pixels are null or of another length than width times height give nulls.
+numpy, one picture at a time; a batch holds few pages, so set ``spark.sql.execution.arrow.maxRecordsPerBatch`` low for
+large pages. Rows whose pixels are null or of another length than width times height give nulls.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import annotations as an
+from ..functions import geometry as g
+from . import degrade as d
+from .degrade import PRESETS, perspective_map, rotation_map  # noqa: F401
 
 FEATURES = ("ink_fraction", "ink_darkness", "paper_lightness", "contrast", "stroke_width", "edge_density", "high_frequency_energy", "block_noise", "illumination_range", "aspect_ratio")
+LONGEST = 1200
 
 
-def _grey(width: int | None, height: int | None, pixels: bytes | None) -> np.ndarray | None:
+def _grey(width: int | None, height: int | None, pixels) -> np.ndarray | None:
     if not width or not height or pixels is None or len(pixels) != width * height:
         return None
     return np.frombuffer(pixels, np.uint8).reshape(height, width)
 
 
-def _window(x: np.ndarray, size: int, best: Callable) -> np.ndarray:
-    """Largest or smallest value of a square around each pixel."""
-    half = size // 2
-    for axis in (0, 1):
-        pads = [(0, 0), (0, 0)]
-        pads[axis] = (half, half)
-        x = best(np.lib.stride_tricks.sliding_window_view(np.pad(x, pads, mode="edge"), size, axis), axis=-1)
-    return x
+def _pictures(b: pa.RecordBatch) -> Iterator[np.ndarray | None]:
+    """The pictures of a batch, one after the other, without copies of their bytes."""
+    pixels = b.column("pixels")
+    for k, (w, h) in enumerate(zip(b.column("width").to_pylist(), b.column("height").to_pylist())):
+        raw = pixels[k]
+        yield _grey(w, h, raw.as_buffer() if raw.is_valid else None)
 
 
 def ink_coverage(grey: np.ndarray, margin: int = 40) -> float:
     return float((grey < np.median(grey) - margin).mean())
 
 
-def contrast_depth(grey: np.ndarray, window: int = 9) -> float:
-    """99th percentile of how much darker pixels are than the lightest around them."""
-    return float(np.percentile(_window(grey, window, np.max).astype(int) - grey, 99))
+def depth_of_ink(grey: np.ndarray, window: int = 9) -> np.ndarray:
+    """How much darker each pixel is than the lightest around it."""
+    return d.square(grey, window, np.maximum).astype(np.int16) - grey
+
+
+def block_depths(grey: np.ndarray, boxes: list[dict] | None, most: int = 12, window: int = 9, least_pixels: int = 16) -> list[float]:
+    """The 99th percentile of the depth of ink of each of the first blocks of text."""
+    found = []
+    if boxes:
+        depth = depth_of_ink(grey, window)
+        for b in boxes[:most]:
+            patch = depth[max(0, int(np.floor(b["y0"]))) : max(0, int(np.ceil(b["y1"]))), max(0, int(np.floor(b["x0"]))) : max(0, int(np.ceil(b["x1"])))]
+            if patch.size >= least_pixels:
+                found.append(float(np.percentile(patch, 99)))
+    return found
 
 
 def stroke_width(ink: np.ndarray, longest: int = 40, rows: int = 120) -> float:
@@ -52,209 +70,151 @@ def stroke_width(ink: np.ndarray, longest: int = 40, rows: int = 120) -> float:
 
 
 def extract_features(grey: np.ndarray) -> list[float]:
-    """Ten numbers that describe a page image; see ``FEATURES``."""
-    g = grey.astype(float)
-    ink = g < np.median(g) - 40
-    paper, dark = float(np.median(g)), float(g[ink].mean()) if ink.any() else float(np.median(g))
-    dx, dy = np.diff(g, axis=1), np.diff(g, axis=0)
-    edges = float(((np.abs(dx) > 20).mean() if dx.size else 0.0) + (np.abs(dy) > 20).mean() if dy.size else 0.0) / 2
-    columns = np.abs(np.diff(g.mean(0)))
-    tiles = [t.mean() for band in np.array_split(g, min(8, len(g))) for t in np.array_split(band, min(8, g.shape[1]), axis=1)]
+    """Ten numbers that describe a page image, see ``FEATURES``; of a large one, as it is at ``LONGEST`` pixels."""
+    x = grey.astype(np.float64)
+    long = max(x.shape)
+    if long > LONGEST:
+        x = d.resize(x, *(max(1, int(n * LONGEST / long)) for n in x.shape)).astype(np.float64)
+    (h, w), middle = x.shape, float(np.median(x))
+    ink = x < middle - 40
+    dark, light = (float(x[m].mean()) if m.any() else middle for m in (ink, ~ink))
+    steps = [np.abs(np.diff(x, axis=a)) for a in (1, 0)]
+    mean = lambda f: sum(float(f(s)) for s in steps if s.size) / 2
+    columns = np.abs(np.diff(x.mean(0)))[7::8]
+    coarse = x[:: max(1, h // 8), :: max(1, w // 8)]
     return [
-        float(ink.mean()), dark, paper, paper - dark, stroke_width(ink), edges,
-        float((dx.std() if dx.size else 0.0) + (dy.std() if dy.size else 0.0)) / 2,
-        float(columns[7::8].mean()) if len(columns) > 7 else 0.0, float(max(tiles) - min(tiles)), g.shape[1] / g.shape[0],
+        float(ink.mean()), dark, light, light - dark, stroke_width(ink), mean(lambda s: (s > 20).mean()), mean(np.std),
+        float(columns.mean()) if w > 16 else 0.0, float(coarse.max() - coarse.min()), w / h,
     ]
 
 
-def features(pages: DataFrame) -> DataFrame:
-    """``id`` and the ten features of each page."""
-    schema = "id string, " + ", ".join(f"{f} double" for f in FEATURES)
+def _over(pages: DataFrame, work: Callable[[np.ndarray, dict], tuple], out: pa.Schema, ddl: str, *extra: str) -> DataFrame:
+    """A row for each page: its id and what ``work`` makes of the picture and the extra columns; nulls without a picture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [extract_features(g) if (g := _grey(*x)) is not None else [None] * len(FEATURES) for x in zip(*(b.column(c).to_pylist() for c in ("width", "height", "pixels")))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, pa.float64()) for c in zip(*rows))] if rows else [b.column("id"), *(pa.array([], pa.float64()) for _ in FEATURES)], names=["id", *FEATURES])
-
-    return pages.selectExpr("cast(id as string) id", "cast(width as int) width", "cast(height as int) height", "pixels").mapInArrow(run, schema)
-
-
-def pixel_gate(pages: DataFrame, least_ink: float = 0.002, least_contrast: float = 90) -> DataFrame:
-    """``id``, ``ink``, ``contrast``, ``passed`` of each page."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(ink_coverage(g), contrast_depth(g)) if (g := _grey(*x)) is not None else (None, None) for x in zip(*(b.column(c).to_pylist() for c in ("width", "height", "pixels")))]
-            ink, depth = [r[0] for r in rows], [r[1] for r in rows]
-            passed = [None if i is None else i >= least_ink and d >= least_contrast for i, d in rows]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ink, pa.float64()), pa.array(depth, pa.float64()), pa.array(passed, pa.bool_())], names=["id", "ink", "contrast", "passed"])
-
-    return pages.selectExpr("cast(id as string) id", "cast(width as int) width", "cast(height as int) height", "pixels").mapInArrow(run, "id string, ink double, contrast double, passed boolean")
-
-
-# degradations: (pixels as floats, draws) -> pixels as floats
-
-
-def _smooth(rng: np.random.Generator, shape: tuple[int, int], cell: int) -> np.ndarray:
-    """Noise of low frequency, bilinear between the points of a coarse grid."""
-    coarse = rng.normal(size=(shape[0] // cell + 2, shape[1] // cell + 2))
-    y, x = np.arange(shape[0]) / cell, np.arange(shape[1]) / cell
-    i, j, v, u = y.astype(int), x.astype(int), (y % 1)[:, None], (x % 1)[None, :]
-    a, b, c, d = coarse[i][:, j], coarse[i][:, j + 1], coarse[i + 1][:, j], coarse[i + 1][:, j + 1]
-    return (a * (1 - u) + b * u) * (1 - v) + (c * (1 - u) + d * u) * v
+            more = [b.column(c).to_pylist() for c in extra]
+            rows = [tuple([None] * len(out)) if x is None else work(x, dict(zip(("id", *extra), (i, *m)))) for i, x, *m in zip(b.column("id").to_pylist(), _pictures(b), *more)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out))], names=["id", *out.names])
 
+    return pages.selectExpr("cast(id as string) id", "cast(width as int) width", "cast(height as int) height", "pixels", *extra).mapInArrow(run, f"id string, {ddl}")
 
-def _blur(g: np.ndarray, radius: float) -> np.ndarray:
-    half = max(1, int(3 * radius))
-    kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / max(radius, 1e-6)) ** 2)
-    kernel /= kernel.sum()
-    for axis in (0, 1):
-        pads = [(0, 0), (0, 0)]
-        pads[axis] = (half, half)
-        g = np.lib.stride_tricks.sliding_window_view(np.pad(g, pads, mode="edge"), len(kernel), axis) @ kernel
-    return g
 
-
-def _motion(g, rng):
-    n, angle = int(rng.integers(3, 10)), rng.uniform(0, np.pi)
-    return sum(np.roll(g, (round(k * np.sin(angle)), round(k * np.cos(angle))), (0, 1)) for k in range(n)) / n
-
-
-def _downscale(g, rng):
-    f = rng.uniform(0.4, 0.9)
-    i = np.minimum((np.arange(g.shape[0]) * f).astype(int) / f, g.shape[0] - 1).astype(int)
-    j = np.minimum((np.arange(g.shape[1]) * f).astype(int) / f, g.shape[1] - 1).astype(int)
-    return g[i][:, j]
+def features(pages: DataFrame) -> DataFrame:
+    """``id`` and the ten features of each page."""
+    return _over(pages, lambda x, _: extract_features(x), pa.schema([(f, pa.float64()) for f in FEATURES]), ", ".join(f"{f} double" for f in FEATURES))
 
 
-def _shadow(g, rng):
-    ramp = np.linspace(1 - rng.uniform(0.1, 0.45), 1, g.shape[1])
-    return g * (ramp if rng.random() < 0.5 else ramp[::-1])[None, :]
+_GATE = pa.schema([("ink", pa.float64()), ("contrast", pa.float64()), ("failing", pa.float64()), ("passed", pa.bool_())])
+_GATE_DDL = "ink double, contrast double, failing double, passed boolean"
 
 
-def _vignette(g, rng):
-    y, x = np.linspace(-1, 1, g.shape[0])[:, None], np.linspace(-1, 1, g.shape[1])[None, :]
-    return g * (1 - rng.uniform(0.15, 0.5) * np.clip((y * y + x * x) / 2, 0, 1))
+def judge(x: np.ndarray, boxes: list[dict] | None, least_ink: float, least_contrast: float, most_failing: float) -> tuple:
+    """Share of ink, median depth of ink and share of failing blocks, and whether both checks pass; blocks vote, none is no fault."""
+    depths, ink = block_depths(x, boxes), ink_coverage(x)
+    failing = float(np.mean([v < least_contrast for v in depths])) if depths else 0.0
+    return ink, float(np.median(depths)) if depths else None, failing, ink >= least_ink and failing <= most_failing
 
 
-def _blob(shape, rng, spread):
-    y, x = np.arange(shape[0])[:, None] - rng.uniform(0, shape[0]), np.arange(shape[1])[None, :] - rng.uniform(0, shape[1])
-    return np.exp(-(y * y + x * x) / (2 * (spread * max(shape)) ** 2))
+def pixel_gate(pages: DataFrame, least_ink: float = 0.002, least_contrast: float = 90, most_failing: float = 0.5) -> DataFrame:
+    """``id``, ``ink``, ``contrast``, ``failing``, ``passed`` of each page; ``boxes`` are its blocks with lines, in reading order."""
+    return _over(pages, lambda x, r: judge(x, r["boxes"], least_ink, least_contrast, most_failing), _GATE, _GATE_DDL, "boxes")
 
 
-def _folds(g, rng):
-    shade = np.ones(g.shape[1])
-    for _ in range(int(rng.integers(1, 4))):
-        shade -= rng.uniform(0.08, 0.3) * np.exp(-0.5 * ((np.arange(g.shape[1]) - rng.uniform(0, g.shape[1])) / 6) ** 2)
-    return g * shade[None, :]
+def text_boxes(page):
+    """Column: the boxes of the regions that have lines, in reading order."""
+    return F.transform(F.filter(an.ordered_regions(page), lambda r: F.size(F.coalesce(r["lines"], F.array().cast(f"array<{an.LINE}>"))) > 0), lambda r: r["bbox"])
 
 
-def _bleed(g, rng):
-    strength = rng.uniform(0.05, 0.22)
-    return g - strength * (255 - _blur(g[:, ::-1], 1.5))
+def _generator(seed: int, id: str) -> Callable[[int], np.random.Generator]:
+    return lambda number: np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}:{id}:{number}".encode()).digest()[:8], "big"))
 
 
-DEGRADATIONS: dict[str, Callable[[np.ndarray, np.random.Generator], np.ndarray]] = {
-    "gaussian_noise": lambda g, r: g + r.normal(0, r.uniform(4, 18), g.shape),
-    "paper_grain": lambda g, r: g + r.uniform(6, 20) * _smooth(r, g.shape, 4),
-    "blur": lambda g, r: _blur(g, r.uniform(0.3, 1.6)),
-    "motion_blur": _motion,
-    "brightness": lambda g, r: g * r.uniform(0.7, 1.25),
-    "contrast": lambda g, r: g.mean() + (g - g.mean()) * r.uniform(0.6, 1.3),
-    "downscale": _downscale,
-    "ink_spread": lambda g, r: _window(g, 3, np.min),
-    "ink_erosion": lambda g, r: _window(g, 3, np.max),
-    "bleedthrough": _bleed,
-    "shadow": _shadow,
-    "vignette": _vignette,
-    "glare": lambda g, r: g + 255 * r.uniform(0.15, 0.5) * _blob(g.shape, r, 0.2),
-    "stains": lambda g, r: g * np.prod([1 - r.uniform(0.05, 0.25) * _blob(g.shape, r, 0.08) for _ in range(int(r.integers(1, 5)))], axis=0),
-    "folds": _folds,
-    "illumination": lambda g, r: g * (1 - r.uniform(0.12, 0.4) * np.clip(_smooth(r, g.shape, max(8, max(g.shape) // 4)), -1, 1) / 2),
-}
-PRESETS: dict[str, list[tuple[str, float]]] = {
-    "clean": [],
-    "scan": [("paper_grain", 0.7), ("blur", 0.5), ("brightness", 0.5), ("contrast", 0.5), ("gaussian_noise", 0.6), ("bleedthrough", 0.2), ("ink_spread", 0.15), ("ink_erosion", 0.15)],
-    "photo": [("illumination", 0.7), ("shadow", 0.5), ("vignette", 0.4), ("glare", 0.2), ("motion_blur", 0.2), ("blur", 0.5), ("brightness", 0.6), ("contrast", 0.5), ("gaussian_noise", 0.6), ("downscale", 0.3), ("folds", 0.2), ("paper_grain", 0.3), ("stains", 0.1)],
-    "fax": [("downscale", 0.8), ("contrast", 0.8), ("gaussian_noise", 0.6), ("ink_erosion", 0.4), ("ink_spread", 0.3), ("blur", 0.3)],
-    "archive": [("paper_grain", 0.9), ("stains", 0.7), ("folds", 0.6), ("bleedthrough", 0.5), ("illumination", 0.4), ("blur", 0.5), ("ink_erosion", 0.4), ("contrast", 0.6), ("brightness", 0.5), ("gaussian_noise", 0.5), ("vignette", 0.3)],
-}
+def steps_of(preset: str | tuple[d.Step, ...]) -> tuple[d.Step, ...]:
+    if isinstance(preset, str):
+        if preset not in PRESETS:
+            raise ValueError(f"unknown preset {preset!r}; one of {', '.join(PRESETS)}")
+        return PRESETS[preset]
+    return tuple(preset)
 
 
-def degrade(pages: DataFrame, preset: str, seed: int = 0) -> DataFrame:
-    """The pages after a preset's steps, each taken with its probability; ``applied`` names them.
+def degrade(pages: DataFrame, preset: str | tuple[d.Step, ...], seed: int = 0) -> DataFrame:
+    """The pages after a preset's steps, each taken with its probability: pixels, their new size, ``applied`` names, ``records`` as JSON.
 
-    Draws depend on the seed, the page's id and the step only. These steps move no ink, so boxes stay valid.
+    Draws depend on the seed, the page's id and the step's number only. With a column ``page`` its boxes follow the ink,
+    and what leaves the canvas is cut off.
     """
-    if preset not in PRESETS:
-        raise ValueError(f"unknown preset {preset!r}; one of {', '.join(PRESETS)}")
+    steps, paged = steps_of(preset), "page" in pages.columns
+    source = pages.selectExpr("cast(id as string) id", "cast(width as int) width", "cast(height as int) height", "pixels", *(["page"] if paged else []))
+    kind = source.schema["page"].dataType if paged else None
+    ddl = "id string, width int, height int, pixels binary, applied array<string>, records array<string>" + (f", page {kind.simpleString()}, moved boolean" if paged else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, names = [], []
-            for i, *x in zip(*(b.column(c).to_pylist() for c in ("id", "width", "height", "pixels"))):
-                g, done = _grey(*x), []
-                for step, (name, p) in enumerate(PRESETS[preset] if g is not None else []):
-                    rng = np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}:{i}:{step}".encode()).digest()[:8], "big"))
-                    if rng.random() <= p:
-                        g = np.clip(DEGRADATIONS[name](g.astype(float), rng), 0, 255)
-                        done.append(name)
-                out.append(None if g is None else g.astype(np.uint8).tobytes())
-                names.append(done)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("width"), b.column("height"), pa.array(out, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=["id", "width", "height", "pixels", "applied"])
+            whole = b.column("page") if paged else None
+            made = []
+            for k, (i, x) in enumerate(zip(b.column("id").to_pylist(), _pictures(b))):
+                if x is None:
+                    made.append((None, None, None, [], [], whole[k].as_py() if paged else None, False))
+                    continue
+                x, maps, done = d.run_steps(x, steps, _generator(seed, i))
+                page = whole[k].as_py() if paged else None
+                page = d.map_page(page, maps, x.shape[1], x.shape[0]) if page and maps else page
+                made.append((x.shape[1], x.shape[0], x.tobytes(), [n for n, _ in done], [json.dumps({"name": n} | p) for n, p in done], page, bool(maps)))
+            columns = [pa.array([m[c] for m in made], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string())))]
+            extra = [pa.array([m[5] for m in made], whole.type), pa.array([m[6] for m in made])] if paged else []
+            yield pa.RecordBatch.from_arrays([b.column("id"), *columns, *extra], names=["id", "width", "height", "pixels", "applied", "records", *(["page", "moved"] if paged else [])])
+
+    out = source.mapInArrow(run, ddl)
+    return out.withColumn("page", F.when(F.col("moved"), an.clipped(F.col("page"))).otherwise(F.col("page"))).drop("moved") if paged else out
+
+
+def degraded_gate(pages: DataFrame, preset: str, seed: int = 0, least_ink: float = 0.002, least_contrast: float = 90, most_failing: float = 0.5) -> DataFrame:
+    """Ink and contrast of pages drawn, degraded and judged in one pass: no picture leaves its task.
+
+    Pages are ``id``, ``width``, ``height`` and ``boxes``, those of their blocks of text in reading order.
+    """
+    steps = steps_of(preset)
 
-    return pages.selectExpr("cast(id as string) id", "cast(width as int) width", "cast(height as int) height", "pixels").mapInArrow(run, "id string, width int, height int, pixels binary, applied array<string>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, w, h, boxes in zip(*(b.column(c).to_pylist() for c in ("id", "width", "height", "boxes"))):
+                x, maps, done = d.run_steps(drawn(w, h, boxes), steps, _generator(seed, i))
+                moved = d.map_page({"regions": [{"bbox": v, "lines": [], "table": None} for v in boxes or []]}, maps, 0, 0)["regions"]
+                rows.append((*judge(x, [r["bbox"] for r in moved], least_ink, least_contrast, most_failing), [n for n, _ in done]))
+            out = pa.schema([*_GATE, ("applied", pa.list_(pa.string()))])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out))], names=["id", *out.names])
+
+    return pages.selectExpr("cast(id as string) id", "cast(width as int) width", "cast(height as int) height", "boxes").mapInArrow(run, f"id string, {_GATE_DDL}, applied array<string>")
+
+
+def drawn(width: int, height: int, boxes: list[dict] | None, ink: int = 40, paper: int = 235) -> np.ndarray:
+    """A picture in which each box is filled with vertical stems."""
+    x = np.full((height, width), paper, np.uint8)
+    for b in boxes or []:
+        x[max(0, int(b["y0"])) : max(0, int(b["y1"])), max(0, int(b["x0"])) : max(0, int(b["x1"])) : 4] = ink
+    return x
 
 
 def rasterize(pages: DataFrame, ink: int = 40, paper: int = 235) -> DataFrame:
-    """Pages of structs as pixels: each line box is filled with vertical stems."""
+    """Pages of boxes as pixels; the boxes stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for w, h, boxes in zip(*(b.column(c).to_pylist() for c in ("width", "height", "boxes"))):
-                g = np.full((h, w), paper, np.uint8)
-                for x in boxes or []:
-                    g[max(0, int(x["y0"])) : max(0, int(x["y1"])), max(0, int(x["x0"])) : max(0, int(x["x1"])) : 4] = ink
-                out.append(g.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("width"), b.column("height"), pa.array(out, pa.binary())], names=["id", "width", "height", "pixels"])
+            out = [drawn(w, h, boxes, ink, paper).tobytes() for w, h, boxes in zip(*(b.column(c).to_pylist() for c in ("width", "height", "boxes")))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("width"), b.column("height"), pa.array(out, pa.binary()), b.column("boxes")], names=["id", "width", "height", "pixels", "boxes"])
 
-    return pages.selectExpr("cast(id as string) id", "cast(width as int) width", "cast(height as int) height", "boxes").mapInArrow(run, "id string, width int, height int, pixels binary")
-
-
-# maps of annotations under geometric degradations
-
-
-def rotation_map(width: float, height: float, degrees: float) -> tuple[np.ndarray, int, int]:
-    """The homography of a rotation about the centre onto a canvas that holds it, and the canvas's size."""
-    a = np.deg2rad(degrees)
-    w, h = abs(width * np.cos(a)) + abs(height * np.sin(a)), abs(width * np.sin(a)) + abs(height * np.cos(a))
-    wide, high = int(np.ceil(w)), int(np.ceil(h))
-    turn = np.array([[np.cos(a), np.sin(a), 0], [-np.sin(a), np.cos(a), 0], [0, 0, 1]])
-    to, back = np.array([[1, 0, -width / 2], [0, 1, -height / 2], [0, 0, 1]]), np.array([[1, 0, wide / 2], [0, 1, high / 2], [0, 0, 1]])
-    return back @ turn @ to, wide, high
-
-
-def perspective_map(source: list[tuple[float, float]], target: list[tuple[float, float]]) -> np.ndarray:
-    """The homography that takes four points to four others."""
-    rows, right = [], []
-    for (x, y), (u, v) in zip(source, target):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-        right += [u, v]
-    return np.append(np.linalg.solve(np.array(rows, float), np.array(right, float)), 1).reshape(3, 3)
+    return pages.selectExpr("cast(id as string) id", "cast(width as int) width", "cast(height as int) height", "boxes").mapInArrow(run, f"id string, width int, height int, pixels binary, boxes array<{g.BOX}>")
 
 
 def map_box(box, h: np.ndarray):
     """Column: the corners of a box under a homography, flat, clockwise from the top left, and the box around them."""
-    from pyspark.sql import functions as F
-
-    from ..functions import geometry as g
-
     m = [[float(v) for v in row] for row in h]
 
     def point(x, y):
-        d = x * m[2][0] + y * m[2][1] + m[2][2]
-        return (x * m[0][0] + y * m[0][1] + m[0][2]) / d, (x * m[1][0] + y * m[1][1] + m[1][2]) / d
+        w = x * m[2][0] + y * m[2][1] + m[2][2]
+        return (x * m[0][0] + y * m[0][1] + m[0][2]) / w, (x * m[1][0] + y * m[1][1] + m[1][2]) / w
 
     points = [point(box[a], box[b]) for a, b in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]
     xs, ys = [p[0] for p in points], [p[1] for p in points]

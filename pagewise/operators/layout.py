@@ -14,15 +14,16 @@ def wrap(text: Column, width: int, advance: float = 1.0) -> Column:
     pieces = F.flatten(
         F.transform(tokens(text), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(w) - 1) / most).cast("int")), lambda i: F.substring(w, i * most + 1, F.lit(most))))
     )
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+    # one string grows, with breaks where lines end: an array of lines would be copied line by line for each word
+    state = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
 
     def step(s: Column, w: Column) -> Column:
-        fits = F.char_length(s["line"]) + 1 + F.char_length(w) <= most
-        line = F.when(s["line"] == "", w).when(fits, F.concat(s["line"], F.lit(" "), w)).otherwise(w)
-        done = F.when((s["line"] == "") | fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["line"])))
-        return F.struct(done.alias("done"), line.alias("line"))
+        n = F.char_length(w)
+        fits = s["used"] + 1 + n <= most
+        gap = F.when(s["used"] == 0, "").when(fits, " ").otherwise("\n")
+        return F.struct(F.concat(s["text"], gap, w).alias("text"), F.when((s["used"] > 0) & fits, s["used"] + 1 + n).otherwise(n).alias("used"))
 
-    return F.aggregate(pieces, state, step, lambda s: F.when(s["line"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["line"]))))
+    return F.aggregate(pieces, state, step, lambda s: F.when(s["text"] == "", F.array().cast("array<string>")).otherwise(F.split(s["text"], "\n", -1)))
 
 
 def fit(lines: Column, height: float, line_height: float) -> Column:

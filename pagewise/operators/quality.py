@@ -29,9 +29,17 @@ def boxes_inside(page: Column, tolerance: float = 1.0) -> Column:
 
 
 def no_overlaps(page: Column, max_iou: float = 0.15) -> Column:
+    """The largest overlap of two blocks: from the top down, each is held against those above that reach it."""
     blocks = F.filter(page["regions"], lambda r: (r["type"] != "separator") & (F.size(r["lines"]) > 0))
-    pairs = F.flatten(F.transform(blocks, lambda a, i: F.transform(F.slice(blocks, i + 2, F.greatest(F.size(blocks), F.lit(1))), lambda b: g.iou(a["bbox"], b["bbox"]))))
-    most = F.coalesce(F.array_max(pairs), F.lit(0.0))
+    down = F.array_sort(F.transform(blocks, lambda r: F.struct(*[r["bbox"][c].alias(c) for c in ("y0", "x0", "x1", "y1")])))
+    none = F.array().cast("array<struct<y0:double,x0:double,x1:double,y1:double>>")
+
+    def step(s: Column, b: Column) -> Column:
+        reach = F.filter(s["open"], lambda a: a["y1"] > b["y0"])
+        most = F.array_max(F.transform(s["open"], lambda a: g.iou(a, b)))
+        return F.struct(F.concat(reach, F.array(b)).alias("open"), F.greatest(s["most"], F.coalesce(most, F.lit(0.0))).alias("most"))
+
+    most = F.aggregate(down, F.struct(none.alias("open"), F.lit(0.0).alias("most")), step)["most"]
     return verdict("NoOverlappingRegions", most <= max_iou, most)
 
 
@@ -42,6 +50,21 @@ def legible_lines(page: Column, min_height: float = 8.0, max_fraction: float = 0
     return verdict("LegibleLineHeight", share <= max_fraction, share)
 
 
+def annotation_checks(page: Column) -> list[Column]:
+    """The checks that need no picture, in their order; those of ink and contrast are ``imaging.pixel_gate``."""
+    return [non_empty_text(an.page_text(page)), boxes_inside(page), no_overlaps(page), legible_lines(page)]
+
+
+#: All checks in the order in which a page is judged.
+ORDER = ("NonEmptyText", "BoxesInsidePage", "MinInkCoverage", "MinContrast", "NoOverlappingRegions", "LegibleLineHeight")
+
+
+def default_checks(page: Column, ink: Column, failing: Column, least_ink: float = 0.002, most_failing: float = 0.5) -> list[Column]:
+    """All six checks of a page whose picture was judged (``ink``, ``failing`` of ``pixel_gate``)."""
+    text, boxes, overlaps, lines = annotation_checks(page)
+    return [text, boxes, verdict("MinInkCoverage", ink >= least_ink, ink), verdict("MinContrast", failing <= most_failing, failing), overlaps, lines]
+
+
 def check(verdicts: list[Column], fail_fast: bool = True) -> Column:
     """``passed`` and ``failures``: the first failure only, or all of them in order."""
     failed = F.filter(F.array(*verdicts), lambda v: ~v["passed"])
@@ -55,7 +78,9 @@ def split(pages: DataFrame, report: str = "report") -> tuple[DataFrame, DataFram
 
 
 def rejection_rates(pages: DataFrame, *by: str, report: str = "report") -> DataFrame:
-    return pages.groupBy(*by).agg(F.count("*").alias("produced"), F.count_if(~F.col(report)["passed"]).alias("rejected"), F.avg((~F.col(report)["passed"]).cast("double")).alias("rate"))
+    # the report is named once, so that it is not computed for each aggregate
+    counted = pages.groupBy(*by).agg(F.count("*").alias("produced"), F.count_if(~F.col(report)["passed"]).alias("rejected"))
+    return counted.withColumn("rate", F.col("rejected") / F.col("produced"))
 
 
 def guarded(rates: DataFrame, most: float = 0.5) -> DataFrame:
@@ -65,7 +90,8 @@ def guarded(rates: DataFrame, most: float = 0.5) -> DataFrame:
 
 
 def failures_by_validator(pages: DataFrame, report: str = "report") -> DataFrame:
-    return pages.select(F.explode(F.col(report)["failures"]).alias("f")).groupBy(F.col("f")["validator"].alias("validator")).agg(F.count("*").alias("failures")).orderBy(F.desc("failures"), "validator")
+    # an outer explode: a filter on the failures would be pushed down with a second copy of the whole report
+    return pages.select(F.explode_outer(F.col(report)["failures"]).alias("f")).where("f is not null").groupBy(F.col("f")["validator"].alias("validator")).agg(F.count("*").alias("failures")).orderBy(F.desc("failures"), "validator")
 
 
 def missing_images(records: DataFrame, files: DataFrame) -> DataFrame:
@@ -79,7 +105,11 @@ def missing_glyphs(texts: DataFrame, coverage: DataFrame) -> DataFrame:
     chars = texts.select("id", F.posexplode(F.array_distinct(F.split("text", "", -1))).alias("pos", "char")).where((F.col("char") != "") & ~F.col("char").isin(*ignored))
     chars = chars.withColumn("codepoint", F.conv(F.hex(F.encode("char", "UTF-32")), 16, 10).cast("int"))
     fonts = coverage.select("font").distinct()
-    asked = chars.crossJoin(fonts)
-    found = asked.join(coverage.withColumn("has", F.lit(1)), ["font", "codepoint"], "left")
-    lost = F.transform(F.array_sort(F.collect_list(F.when(F.col("has").isNull(), F.struct("pos", "char")))), lambda s: s["char"])
-    return found.groupBy("font", "id").agg(lost.alias("missing"), F.avg(F.coalesce("has", F.lit(0))).alias("ratio"))
+    alphabet = chars.select("codepoint").distinct()  # at most as many as there are code points, whatever the texts
+    lacking = alphabet.crossJoin(fonts).join(coverage, ["font", "codepoint"], "left_anti").groupBy("codepoint").agg(F.collect_set("font").alias("fonts"))
+    lost = chars.join(lacking, "codepoint").select("id", "pos", "char", F.explode("fonts").alias("font"))
+    missing = lost.groupBy("font", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "char"))), lambda s: s["char"]).alias("missing"))
+    sizes = chars.groupBy("id").agg(F.count("*").alias("n")).crossJoin(fonts)
+    found = sizes.join(missing, ["font", "id"], "left")
+    none = F.coalesce("missing", F.array().cast("array<string>"))
+    return found.select("font", "id", none.alias("missing"), (1 - F.size(none) / F.col("n")).alias("ratio"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +42,22 @@ def shares(counts: DataFrame) -> DataFrame:
 
 
 def alphabet(df: DataFrame, text: str = "text") -> DataFrame:
-    """``char``, ``n`` of the characters of line texts; texts are reduced to distinct characters with counts first."""
-    return df.select(F.explode(F.split(text, "", -1)).alias("char")).where("char not in ('', '\n')").groupBy("char").agg(F.count("*").alias("n"))
+    """``char``, ``n`` of the characters of line texts; batches of texts are reduced to distinct characters with counts first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0x110000, np.int64)
+        for b in batches:
+            texts = b.column(0).drop_null().cast(pa.large_string())
+            raw = texts.buffers()[2] if len(texts) else None
+            edge = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else [0, 0]
+            if raw is not None:
+                points = np.frombuffer(bytes(raw)[edge[0] : edge[-1]].decode().encode("utf-32-le"), np.uint32)
+                total += np.bincount(points, minlength=len(total))
+        total[10] = 0
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in found], pa.string()), pa.array(total[found])], names=["char", "n"])
+
+    return df.select(F.col(text).cast("string")).mapInArrow(run, "char string, n bigint").groupBy("char").agg(F.sum("n").alias("n"))
 
 
 def rarest(counts: DataFrame, n: int = 15) -> DataFrame:

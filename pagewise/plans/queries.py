@@ -42,8 +42,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, as of a file with one row group, is dealt out; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.expr(_AR).alias("t"))
+    return _spread(_read(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.expr(_AR).alias("t"))
 
 
 # texts
@@ -279,7 +285,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     regions = F.transform(lines, region)
     page = F.struct(F.lit(1000).alias("width"), F.lit(1400).alias("height"), F.lit("ltr").alias("direction"), regions.alias("regions"), F.lit(None).cast("map<string,string>").alias("attributes"))
-    return _read(spark, sf_dir, "documents").select("doc_id", "source", page.alias("page"))
+    return _spread(_read(spark, sf_dir, "documents")).select("doc_id", "source", page.alias("page"))
 
 
 _LINES = "(SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)"
@@ -306,15 +312,26 @@ def annotate_pages(spark, sf_dir):
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    checks = [quality.non_empty_text(an.page_text(F.col("page"))), quality.boxes_inside(F.col("page")), quality.legible_lines(F.col("page"))]
-    return pages.select("doc_id", "source", quality.check(checks).alias("report"))
+    """Pages under the checks of annotations; every seventh page has lines across each other, every fifth some very low ones."""
+
+    def crowded(r, i):
+        y0 = 20 + i * F.when(F.col("doc_id") % 7 == 0, 10).otherwise(30)
+        box = g.box(20, y0, r["bbox"]["x1"], y0 + F.when((F.col("doc_id") % 5 == 0) & (i % 3 == 0), 6).otherwise(24))
+        return r.withField("bbox", box).withField("lines", F.transform(r["lines"], lambda x: x.withField("bbox", box)))
+
+    pages = _pages(spark, sf_dir).withColumn("page", F.col("page").withField("regions", F.transform("page.regions", crowded)))
+    return pages.select("doc_id", "source", quality.check(quality.annotation_checks(F.col("page"))).alias("report"))
 
 
 _GATE = f"""
 g AS (SELECT d.doc_id, d.source, array_to_string(l, chr(10)) AS t, l FROM documents d JOIN {_LINES} x ON d.doc_id = x.doc_id),
-v AS (SELECT doc_id, source, CASE WHEN length({_STRIP('t')}) < 8 OR len({_TOKENS(_STRIP('t'))}) < 2 THEN 'NonEmptyText'
-  WHEN coalesce(list_max(list_transform(l, lambda x: length(x))), 0) * 7 + 20 > 1001 OR len(l) * 30 + 14 > 1401 THEN 'BoxesInsidePage' END AS failure FROM g)"""
+s AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM g),
+b AS (SELECT doc_id, i, length(s) * 7.0 AS w, 20.0 + i * (CASE WHEN doc_id % 7 = 0 THEN 10 ELSE 30 END) AS y0, CASE WHEN doc_id % 5 = 0 AND i % 3 = 0 THEN 6.0 ELSE 24.0 END AS h FROM s),
+e AS (SELECT doc_id, max(20 + w) AS right_end, max(y0 + h) AS low_end, avg(CASE WHEN h < 8 THEN 1.0 ELSE 0.0 END) AS low FROM b GROUP BY doc_id),
+c AS (SELECT a.doc_id, least(a.w, b.w) * greatest(0, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0)) AS i, a.w * a.h + b.w * b.h AS u FROM b a JOIN b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i <= a.i + 2),
+o AS (SELECT doc_id, max(CASE WHEN i > 0 THEN i / (u - i) ELSE 0 END) AS iou FROM c GROUP BY doc_id),
+v AS (SELECT g.doc_id, g.source, CASE WHEN length({_STRIP('t')}) < 8 OR len({_TOKENS(_STRIP('t'))}) < 2 THEN 'NonEmptyText'
+  WHEN right_end > 1001 OR low_end > 1401 THEN 'BoxesInsidePage' WHEN iou > 0.15 THEN 'NoOverlappingRegions' WHEN low > 0.1 THEN 'LegibleLineHeight' END AS failure FROM g LEFT JOIN e USING (doc_id) LEFT JOIN o USING (doc_id))"""
 
 
 @_query(f"WITH {_GATE} SELECT doc_id, failure IS NULL AS passed, failure FROM v")
@@ -555,8 +572,8 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 # pixels
 
 
-def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page on 250 x 350 pixels: page and lines beyond its edges are scaled to fit, and a line keeps a pixel at least."""
+def _small_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the lines of each page on 250 x 350 pixels: page and lines beyond its edges are scaled to fit, and a line keeps a pixel at least."""
     pages = _pages(spark, sf_dir).select("doc_id", F.col("page.width").alias("w"), F.col("page.height").alias("h"), F.transform(an.page_lines(F.col("page")), lambda x: x["bbox"]).alias("b"))
     across = 250 / F.greatest("w", F.array_max(F.transform("b", lambda x: x["x1"])))
     down = 350 / F.greatest("h", F.array_max(F.transform("b", lambda x: x["y1"])))
@@ -565,19 +582,60 @@ def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
         x0, y0 = F.floor(x["x0"] * across), F.floor(x["y0"] * down)
         return g.box(x0, y0, F.greatest(x["x1"] * across, x0 + 1), F.greatest(x["y1"] * down, y0 + 1))
 
-    return imaging.rasterize(pages.select(F.col("doc_id").alias("id"), F.lit(250).alias("width"), F.lit(350).alias("height"), F.transform("b", small).alias("boxes")))
+    sized = pages.select(F.col("doc_id").alias("id"), F.lit(250).alias("width"), F.lit(350).alias("height"), F.transform("b", small).alias("boxes"))
+    return sized.repartition(4 * spark.sparkContext.defaultParallelism)  # drawing takes longer than reading; boxes are small
 
 
 @_query()
 def image_features(spark, sf_dir):
     """Ten features of a small picture of every page; tests hold them against what they measure."""
-    return imaging.features(_rasters(spark, sf_dir))
+    return imaging.features(imaging.rasterize(_small_pages(spark, sf_dir)))
 
 
 @_query()
 def image_gate(spark, sf_dir):
     """Ink and contrast of degraded pictures of every page."""
-    return imaging.pixel_gate(imaging.degrade(_rasters(spark, sf_dir), "archive", seed=5))
+    return imaging.degraded_gate(_small_pages(spark, sf_dir), "archive", seed=5)
+
+
+#: A small picture of each document by a formula: strokes on paper, in columns x from 0 to 23 and rows y from 0 to 17.
+_PIXEL = "CASE WHEN (x * (doc_id % 7 + 1) + y * 3) % 11 < 2 THEN 15 + (x + y + doc_id) % 120 ELSE 200 + (x * y + doc_id) % 40 END"
+_PIXELS = f"p AS (SELECT doc_id, x, y, CAST({_PIXEL} AS DOUBLE) AS v FROM documents CROSS JOIN (SELECT unnest(range(24)) AS x) CROSS JOIN (SELECT unnest(range(18)) AS y))"
+_BLOCKS = ((0, 0, 8, 6), (8, 0, 20, 10), (4, 10, 24, 18))
+
+
+def _formula_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = "array_join(transform(sequence(0, 23), x -> lpad(hex(%s), 2, '0')), '')" % _PIXEL
+    boxes = F.array(*[g.box(*b) for b in _BLOCKS])
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(24).alias("width"), F.lit(18).alias("height"), F.expr(f"unhex(array_join(transform(sequence(0, 17), y -> {row}), ''))").alias("pixels"), boxes.alias("boxes"))
+
+
+@_query(f"""
+WITH {_PIXELS}, m AS (SELECT doc_id, median(v) AS med FROM p GROUP BY doc_id), i AS (SELECT p.*, med, v < med - 40 AS ink FROM p JOIN m USING (doc_id)),
+a AS (SELECT doc_id, avg(CASE WHEN ink THEN 1.0 ELSE 0.0 END) AS ink_fraction, coalesce(avg(v) FILTER (WHERE ink), max(med)) AS dark, coalesce(avg(v) FILTER (WHERE NOT ink), max(med)) AS light FROM i GROUP BY doc_id),
+gx AS (SELECT doc_id, abs(lead(v) OVER (PARTITION BY doc_id, y ORDER BY x) - v) AS d FROM p), gy AS (SELECT doc_id, abs(lead(v) OVER (PARTITION BY doc_id, x ORDER BY y) - v) AS d FROM p),
+ex AS (SELECT doc_id, avg(CASE WHEN d > 20 THEN 1.0 ELSE 0.0 END) AS e, stddev_pop(d) AS s FROM gx WHERE d IS NOT NULL GROUP BY doc_id), ey AS (SELECT doc_id, avg(CASE WHEN d > 20 THEN 1.0 ELSE 0.0 END) AS e, stddev_pop(d) AS s FROM gy WHERE d IS NOT NULL GROUP BY doc_id),
+c AS (SELECT doc_id, x, abs(lead(avg(v)) OVER (PARTITION BY doc_id ORDER BY x) - avg(v)) AS d FROM p GROUP BY doc_id, x), bn AS (SELECT doc_id, avg(d) AS block FROM c WHERE x % 8 = 7 AND d IS NOT NULL GROUP BY doc_id),
+il AS (SELECT doc_id, max(v) - min(v) AS light_range FROM p WHERE y % 2 = 0 AND x % 3 = 0 GROUP BY doc_id),
+r AS (SELECT doc_id, y, x - row_number() OVER (PARTITION BY doc_id, y ORDER BY x) AS island FROM i WHERE ink), w AS (SELECT doc_id, avg(n) AS stroke FROM (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id, y, island) WHERE n <= 40 GROUP BY doc_id)
+SELECT CAST(a.doc_id AS VARCHAR) AS id, round(ink_fraction, 5) AS ink_fraction, round(dark, 5) AS ink_darkness, round(light, 5) AS paper_lightness, round(light - dark, 5) AS contrast, round(coalesce(stroke, 0), 5) AS stroke_width, round((ex.e + ey.e) / 2, 5) AS edge_density,
+  round((ex.s + ey.s) / 2, 5) AS high_frequency_energy, round(block, 5) AS block_noise, light_range AS illumination_range, round(24 / 18, 5) AS aspect_ratio
+FROM a JOIN ex USING (doc_id) JOIN ey USING (doc_id) JOIN bn USING (doc_id) JOIN il USING (doc_id) LEFT JOIN w USING (doc_id)""")
+def image_feature_rules(spark, sf_dir):
+    f = imaging.features(_formula_pictures(spark, sf_dir))
+    return f.select("id", *[F.round(c, 5).alias(c) for c in imaging.FEATURES])
+
+
+@_query(f"""
+WITH {_PIXELS}, m AS (SELECT doc_id, median(v) AS med FROM p GROUP BY doc_id), k AS (SELECT doc_id, avg(CASE WHEN v < med - 40 THEN 1.0 ELSE 0.0 END) AS ink FROM p JOIN m USING (doc_id) GROUP BY doc_id),
+h AS (SELECT *, max(v) OVER (PARTITION BY doc_id, y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS t FROM p), d AS (SELECT doc_id, x, y, max(t) OVER (PARTITION BY doc_id, x ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) - v AS depth FROM h),
+b AS (SELECT * FROM (VALUES {', '.join(str((i, *b)) for i, b in enumerate(_BLOCKS))}) AS t(b, x0, y0, x1, y1)),
+q AS (SELECT doc_id, b, quantile_cont(depth, 0.99) AS q FROM d JOIN b ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY doc_id, b),
+v AS (SELECT doc_id, median(q) AS contrast, avg(CASE WHEN q < 150 THEN 1.0 ELSE 0.0 END) AS failing FROM q GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS id, round(ink, 6) AS ink, round(contrast, 6) AS contrast, round(failing, 6) AS failing, ink >= 0.15 AND failing <= 0.5 AS passed FROM v JOIN k USING (doc_id)""")
+def image_gate_rules(spark, sf_dir):
+    found = imaging.pixel_gate(_formula_pictures(spark, sf_dir), 0.15, 150)
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("ink", "contrast", "failing")], "passed")
 
 
 def _rotated_sql() -> str:
