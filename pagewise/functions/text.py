@@ -8,7 +8,8 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,10 +103,12 @@ def vocalisation(text: Column) -> Column:
 
 
 def _in_form(form: str):
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+    def run(texts: pa.Array) -> pa.Array:
+        wide = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)  # ASCII is in every form
+        made = [unicodedata.normalize(form, x) for x in texts.filter(wide).to_pylist()]
+        return pc.replace_with_mask(texts, wide, pa.array(made, texts.type)) if made else texts
 
-    return F.pandas_udf(run, "string")
+    return F.arrow_udf(run, "string")
 
 
 def unicode_form(text: Column, form: str | None = "NFC") -> Column:
@@ -174,6 +177,45 @@ def strip_marks_partly(text: Column, keep: Column | float, seed: Column) -> Colu
     return F.when(keep >= 1, text).when(keep <= 0, strip_marks(text)).otherwise(F.array_join(stays, ""))
 
 
+@dataclass(frozen=True)
+class MarkPolicy:
+    """What happens to the marks of a document: ``keep``, ``strip``, ``partial`` (a share drawn from a range) or ``mixed`` (one of these by weight)."""
+
+    mode: str = "keep"
+    keep_range: tuple[float, float] = (0.1, 0.6)
+    mixed_weights: tuple[float, float, float] = (0.15, 0.25, 0.60)
+
+    def __post_init__(self):
+        if self.mode not in ("keep", "strip", "partial", "mixed"):
+            raise ValueError(f"unknown mode {self.mode!r}; one of keep, mixed, partial, strip")
+
+
+def kept_share(policy: MarkPolicy, seed: Column) -> Column:
+    """The share of marks that a document keeps, drawn once from its seed."""
+    low, high = sorted(policy.keep_range)
+    partly = F.lit(low) + uniform(seed, F.lit("marks")) * (high - low)
+    if policy.mode != "mixed":
+        return {"keep": F.lit(1.0), "strip": F.lit(0.0), "partial": partly}[policy.mode]
+    full, some, none = policy.mixed_weights
+    u = uniform(seed, F.lit("mark-mode")) * (full + some + none)
+    return F.when(u < full, 1.0).when(u < full + some, partly).otherwise(0.0)
+
+
+def apply_marks(text: Column, policy: MarkPolicy, seed: Column) -> Column:
+    """``text`` under a policy and ``kept``, the share of marks that stays; 1 for a text without marks. A null text is null."""
+    has, share = count_marks(text) > 0, kept_share(policy, seed)
+    made = strip_marks(text) if policy.mode == "strip" else text if policy.mode == "keep" else strip_marks_partly(text, share, seed)
+    return F.struct(F.when(has, made).otherwise(text).alias("text"), F.when(has, share).otherwise(1.0).alias("kept"))
+
+
+_HANDS = ("hand", "script", "ruqaa", "ruqa", "thuluth", "diwan", "nastaliq", "shekari", "marhey", "lalezar", "gulzar", "qahiri", "reem", "kufi")
+
+
+def is_handwriting(file_name: Column) -> Column:
+    """Whether the name of a font file hints at a hand."""
+    return F.lower(file_name).rlike("|".join(_HANDS))
+
+
 def font_family(file_name: Column) -> Column:
     """The stem of a font file up to a bracket, hyphen or underscore."""
     stem = F.regexp_replace(F.regexp_replace(file_name, r"^.*/", ""), r"\.[^.]*$", "")
@@ -185,7 +227,8 @@ _WEIGHTS = ("thin", "extralight", "light", "regular", "medium", "semibold", "bol
 
 def weight_rank(file_name: Column) -> Column:
     """The rank of the first weight whose name a font file holds, in that order; regular where there is none."""
-    name, out = F.lower(file_name), F.lit(_WEIGHTS.index("regular"))
+    stem = F.regexp_replace(F.regexp_replace(file_name, r"^.*/", ""), r"\.[A-Za-z0-9]*$", "")
+    name, out = F.regexp_replace(F.lower(stem), "[-_ ]", ""), F.lit(_WEIGHTS.index("regular"))
     for rank in reversed(range(len(_WEIGHTS))):
         out = F.when(F.contains(name, F.lit(_WEIGHTS[rank])), rank).otherwise(out)
     return out

@@ -263,8 +263,11 @@ def _displaced(g: np.ndarray, dx: np.ndarray, dy: np.ndarray, shade: np.ndarray,
     read = g[np.clip(np.rint(y), 0, h - 1).astype(int), np.clip(np.rint(x), 0, w - 1).astype(int)]
 
     def moved(px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j = np.clip(np.rint(py), 0, h - 1).astype(int), np.clip(np.rint(px), 0, w - 1).astype(int)
-        return px - dx[i, j], py - dy[i, j]
+        x, y = px, py
+        for _ in range(6):  # the place that is read from here, found step by step, as the field is smooth
+            i, j = np.clip(np.rint(y), 0, h - 1).astype(int), np.clip(np.rint(x), 0, w - 1).astype(int)
+            x, y = px - dx[i, j], py - dy[i, j]
+        return x, y
 
     return np.where(inside, read, fill) * shade, moved
 

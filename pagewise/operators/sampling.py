@@ -9,7 +9,7 @@ from ..functions.text import DIGITS, numerals, tokens, uniform
 
 MONTHS = ("يناير", "فبراير", "مارس", "أبريل", "ماي", "يونيو", "يوليوز", "غشت", "شتنبر", "أكتوبر", "نونبر", "دجنبر")
 CURRENCIES = ("MAD", "EUR", "USD", "GBP", "SAR")
-PAPERS_MM = {"a3": (297, 420), "a4": (210, 297), "a5": (148, 210), "a6": (105, 148), "b5": (176, 250), "letter": (216, 279), "legal": (216, 356), "tabloid": (279, 432)}
+PAPERS_MM = {"a3": (297, 420), "a4": (210, 297), "a5": (148, 210), "a6": (105, 148), "letter": (215.9, 279.4), "legal": (215.9, 355.6), "receipt": (80, 200), "id_card": (85.6, 54)}
 
 
 def sample_seed(seed: int | None, index: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import annotations as an
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import compare, evaluation, imaging, layout, quality, sampling, stats, templates
+from ..operators import compare, content, evaluation, imaging, layout, quality, sampling, stats
+from ..operators import pages as pages_of
 from ..sources import sinks
 from ..streaming import stats as streaming
 
@@ -167,7 +168,7 @@ def sampled_fields(spark, sf_dir):
 
 
 @_query("""
-WITH p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 210 WHEN 1 THEN 148 ELSE 216 END AS w, CASE doc_id % 3 WHEN 0 THEN 297 WHEN 1 THEN 210 ELSE 279 END AS h, 110 + doc_id % 90 AS dpi, 1 + doc_id % 2 AS cols, doc_id % 20 = 0 AS land FROM documents),
+WITH p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 210 WHEN 1 THEN 148 ELSE 215.9 END AS w, CASE doc_id % 3 WHEN 0 THEN 297 WHEN 1 THEN 210 ELSE 279.4 END AS h, 110 + doc_id % 90 AS dpi, 1 + doc_id % 2 AS cols, doc_id % 20 = 0 AS land FROM documents),
 x AS (SELECT doc_id, cols, CAST(greatest(1, round((CASE WHEN land THEN h ELSE w END) / 25.4 * dpi)) AS INTEGER) AS width, CAST(greatest(1, round((CASE WHEN land THEN w ELSE h END) / 25.4 * dpi)) AS INTEGER) AS height, CAST(greatest(1, round(20 / 25.4 * dpi)) AS INTEGER) AS margin FROM p)
 SELECT doc_id, width, height, margin, CAST(floor((width - 2 * margin - (cols - 1) * 20) / cols) AS INTEGER) AS column_width FROM x""")
 def page_geometry(spark, sf_dir):
@@ -512,22 +513,28 @@ def compare_overlap(spark, sf_dir):
 # formats, arms, runs, streams
 
 
-@_query(f"""SELECT conv_id, turn, to_json({{'id': conv_id || '_' || turn, 'image': 'images/' || conv_id || '.png', 'messages': [{{'role': 'user', 'content': '{sinks.INSTRUCTION}'}}, {{'role': 'assistant', 'content': text}}]}})::VARCHAR AS record FROM conversations""")
+@_query(f"""SELECT conv_id, turn, '{{"id":' || to_json(conv_id || '_' || turn) || ',"image":' || to_json('images/' || conv_id || '.png') || ',"messages":[{{"role":"user","content":[{{"type":"image"}},{{"type":"text","text":"Transcribe this document to Markdown, preserving its structure."}}]}},{{"role":"assistant","content":[{{"type":"text","text":' || to_json(text) || '}}]}}]}}' AS record FROM conversations""")
 def chat_records(spark, sf_dir):
     c = _read(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", sinks.chat(F.concat_ws("_", "conv_id", "turn"), F.format_string("images/%d.png", "conv_id"), F.col("text")).alias("record"))
 
 
-@_query()
+@_query(f"""
+WITH s AS (SELECT doc_id, CAST(doc_id // 100 AS INTEGER) AS shard, unnest(l) AS text, unnest(range(len(l))) AS i FROM {_LINES}), k AS (SELECT *, unnest([0, 1]) AS line FROM s),
+p AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id // 100 ORDER BY printf('%08d', doc_id)) AS INTEGER) AS image_id FROM documents)
+SELECT shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY printf('%08d', doc_id), i, line) AS INTEGER) AS annotation_id, image_id, printf('%08d', doc_id) AS id,
+  CASE WHEN line = 1 THEN 2 WHEN i = 0 THEN 3 ELSE 5 END AS category_id, printf('20,%d,%d,24', 20 + i * 30, length(text) * 7) AS bbox, round(length(text) * 7.0 * 24, 2) AS area, 0 AS iscrowd, 0 AS polygons, text FROM k JOIN p USING (doc_id)""")
 def coco_instances(spark, sf_dir):
-    """Boxes of all regions and lines; tests hold it against a loop."""
     pages = _pages(spark, sf_dir).select((F.col("doc_id") / 100).cast("int").alias("shard"), F.format_string("%08d", "doc_id").alias("id"), "page")
-    return sinks.coco_annotations(pages)
+    found = sinks.coco_annotations(pages)
+    box = F.array_join(F.transform("bbox", lambda v: v.cast("int").cast("string")), ",")
+    return found.withColumn("bbox", box).withColumn("segmentation", F.size("segmentation")).withColumnRenamed("segmentation", "polygons")
 
 
-@_query()
+@_query(f"""
+SELECT doc_id, printf('images/%08d.png', doc_id) || chr(9) || '[' || array_to_string(list_transform(l, lambda x, i: '{{"transcription":' || to_json(x) || ',"points":' ||
+  printf('[[20.0,%d.0],[%d.0,%d.0],[%d.0,%d.0],[20.0,%d.0]]', i * 30 - 10, 20 + length(x) * 7, i * 30 - 10, 20 + length(x) * 7, i * 30 + 14, i * 30 + 14) || '}}'), ',') || ']' AS label FROM {_LINES}""")
 def detection_labels(spark, sf_dir):
-    """Label lines of all pages; tests hold it against a loop."""
     return _pages(spark, sf_dir).select("doc_id", sinks.detection_label(F.format_string("images/%08d.png", "doc_id"), F.col("page")).alias("label"))
 
 
@@ -656,9 +663,22 @@ def rotated_boxes(spark, sf_dir):
 @_query()
 def template_documents(spark, sf_dir):
     """A document of one of ten genres from the sentences of each source text; tests hold it against the recipes."""
+    made = _built(spark, sf_dir)
+    count = lambda kind: F.size(F.filter("blocks", lambda b: b["type"] == kind)).alias(f"{kind}s")
+    kinds = [count(k) for k in ("table", "chart", "formula")]
+    return made.select("index", "template", "direction", F.size("blocks").alias("n_blocks"), *kinds, content.plain_text(F.col("blocks")).alias("text"))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = _documents(spark, sf_dir).select(F.col("doc_id").alias("index"), t.sentences(F.col("t")).alias("sentences"))
-    made = templates.documents(sources, 21)
-    return made.select("index", "template", F.size("blocks").alias("n_blocks"), templates.plain_text(F.col("blocks")).alias("text"))
+    return content.documents(sources, 21)
+
+
+@_query()
+def layout_pages(spark, sf_dir):
+    """The pages of each document, their text and what was dropped; tests hold the layout against its rules."""
+    pages, p = pages_of.layout(_built(spark, sf_dir)), F.col("page")
+    return pages.select("index", "template", "page_no", p["width"].alias("width"), p["height"].alias("height"), F.size(p["regions"]).alias("regions"), F.size(an.page_lines(p)).alias("lines"), an.page_markdown(p).alias("markdown"), "dropped")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -80,7 +80,7 @@ def test_pictures_show_every_line_to_its_end(spark, tmp_path):
 
 def test_presets_draw_as_many_steps_as_their_probabilities_say():
     x = np.full((24, 24), 200, np.uint8)
-    for name, expected in (("clean", 0), ("scan", 4.15), ("photo", 7.4), ("fax", 4.2), ("archive", 7.0)):
+    for name, expected in (("clean", 0), ("scan", 4.15), ("photo", 7.35), ("fax", 4.2), ("archive", 7.0)):
         assert sum(s.probability for s in degrade.PRESETS[name]) == pytest.approx(expected)
         n = np.mean([len(degrade.run_steps(x, degrade.PRESETS[name], lambda k, i=i: np.random.default_rng([i, k]))[2]) for i in range(120)])
         assert abs(n - expected) < 0.5

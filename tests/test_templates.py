@@ -3,25 +3,10 @@ import tarfile
 from pyspark.sql import functions as F
 
 from pagewise.functions import text as t
-from pagewise.operators import sampling, templates
+from pagewise.operators import sampling
 from pagewise.sources import archives
 
 
-def test_documents_follow_their_recipes(spark):
-    sentences = ["One two three four.", "five six seven.", "eight nine ten eleven twelve."]
-    sources = spark.createDataFrame([(i, sentences if i else []) for i in range(120)], "index bigint, sentences array<string>")
-    rows = {r["index"]: r for r in templates.documents(sources, 4).collect()}
-    assert rows[0].blocks == [] and {r.template for r in rows.values()} == set(templates.RECIPES)
-    again = {r["index"]: r for r in templates.documents(sources.repartition(5), 4).collect()}
-    assert rows == again
-    for i, r in rows.items():
-        if i:
-            assert [b.type for b in r.blocks] == [templates._TYPES[k] for k in templates.RECIPES[r.template].split()]
-            assert all(b.text for b in r.blocks)
-    only = templates.documents(sources, 4, {"form": 1, "letter": 0, "unknown": 5})
-    assert {r.template for r in only.collect()} == {"form"}
-
-
 def test_tar_shards_and_resume(spark, tmp_path):
     pages = spark.createDataFrame([(i // 3, f"{i:03d}", bytes([i]), f'{{"id":{i}}}') for i in range(7)] + [(2, "900", None, None)], "shard int, id string, image binary, record string")
     log = archives.write_tar(pages, f"file://{tmp_path}/out")
