@@ -133,8 +133,8 @@ def markup_escape(spark, sf_dir):
 def seeds_and_shards(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id")
     last = docs.agg(F.max("doc_id")).first()[0] or 0
-    plan = F.broadcast(sampling.plan_shards(spark, 0, int(last) + 1, 100))  # a row for every 100 documents' worth of ids, checked below
-    joined = docs.join(plan if last < 10_000_000 else sampling.plan_shards(spark, 0, int(last) + 1, 100), F.floor(F.col("doc_id") / 100).cast("int") == F.col("shard"))
+    plan = sampling.plan_shards(spark, 0, int(last) + 1, 100)  # its size is known to the planner, which broadcasts a short one
+    joined = docs.join(plan, F.floor(F.col("doc_id") / 100).cast("int") == F.col("shard"))
     return joined.select("doc_id", sampling.sample_seed(1234, F.col("doc_id")).alias("seed"), "shard")
 
 

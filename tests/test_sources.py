@@ -31,9 +31,9 @@ def test_mappings_and_provider(spark, tmp_path):
 
 
 def test_overrides():
-    config = {"run": {"workers": 1}, "fonts": 3}
-    got = texts.apply_overrides(config, ["run.workers=8", "fonts.size_range=[20,24]", "output.dir=out"])
-    assert got == {"run": {"workers": 8}, "fonts": {"size_range": [20, 24]}, "output": {"dir": "out"}} and config["fonts"] == 3
+    config = {"gate": {"least_ink": 0.5}, "paper": 3}
+    got = texts.apply_overrides(config, ["gate.least_ink=0.25", "paper.margins=[7,9]", "title=plain words"])
+    assert got == {"gate": {"least_ink": 0.25}, "paper": {"margins": [7, 9]}, "title": "plain words"} and config["paper"] == 3
     with pytest.raises(ValueError):
         texts.apply_overrides({}, ["broken"])
 
