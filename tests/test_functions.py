@@ -18,7 +18,7 @@ def column(spark, texts, f):
     return [r[0] for r in df.orderBy("i").select(f(F.col("x"))).collect()]
 
 
-VOCALISED = "بِسْمِ اللَّهِ الرَّحْمَٰنِ الرَّحِيمِ"
+VOCALISED = "كَتَبَ الْوَلَدُ دَرْسَهُ فِي الدَّفْتَرِ"
 
 
 def test_scripts_and_directions(spark):
