@@ -29,3 +29,11 @@ def test_boxes_are_mapped_at_once_and_bands_change_nothing(monkeypatch):
     assert (degrade.run_steps(page, steps, imaging._generator(1, "a"))[0] == x).all()
     for p in (page, page[:, :7], page[:1, :1]):
         assert imaging.middle_of(p) == np.median(p)
+
+
+def test_pages_are_laid_out_a_few_documents_at_a_time(spark, data, monkeypatch):
+    b = pa.RecordBatch.from_pydict({"k": list(range(150))})
+    assert [p.num_rows for p in content.parts(iter([b, b.slice(0, 0)]))] == [64, 64, 22]
+    assert [p["k"][0].as_py() for p in content.parts(iter([b]))] == [0, 64, 128]
+    laid = plans.layout_pages(spark, data)
+    assert laid.select("index").distinct().count() == plans.template_documents(spark, data).where("n_blocks > 0").count() > 2 * content.AT_ONCE
