@@ -37,3 +37,16 @@ def test_pages_are_laid_out_a_few_documents_at_a_time(spark, data, monkeypatch):
     assert [p["k"][0].as_py() for p in content.parts(iter([b]))] == [0, 64, 128]
     laid = plans.layout_pages(spark, data)
     assert laid.select("index").distinct().count() == plans.template_documents(spark, data).where("n_blocks > 0").count() > 2 * content.AT_ONCE
+
+
+def test_pictures_are_measured_where_they_are_drawn(spark, data):
+    pages = plans._small_pages(spark, data).limit(20)
+    one, two = (sorted(df.collect()) for df in (imaging.drawn_features(pages), imaging.features(imaging.rasterize(pages))))
+    assert one == two and len(one) == 20
+    assert plan(plans.image_features(spark, data)).count("MapInArrow") == 1
+
+
+def test_drawn_pictures_leave_in_parts(monkeypatch):
+    b = pa.RecordBatch.from_pydict({"width": [10, 10, None, 50, 10], "height": [10, 10, 10, 50, 10]})
+    monkeypatch.setattr(imaging, "PART_PIXELS", 200)
+    assert [p.num_rows for p in imaging._few(b)] == [3, 1, 1] and list(imaging._few(b.slice(0, 0))) == []
