@@ -6,8 +6,11 @@ counted as missing. Where a reference id repeats, the last by the given order wi
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,19 +69,93 @@ def table_similarity(reference: Column, hypothesis: Column) -> Column:
 def detection(references: Column, predictions: Column, threshold: float = 0.5) -> Column:
     """Greedy one-to-one matches in the order of predictions: tp, fp, fn, precision, recall, f1."""
 
+    # a place of the references is struck off once it is taken; the best place is found once for each prediction
     def step(state: Column, p: Column) -> Column:
-        scored = F.transform(state["free"], lambda r, i: F.struct(g.iou(r, p).alias("iou"), (-i).alias("i")))
-        best = F.array_max(scored)
-        hit = F.coalesce((best["iou"] > 0) & (best["iou"] >= threshold), F.lit(False))
-        free = F.when(hit, F.filter(state["free"], lambda r, i: i != -best["i"])).otherwise(state["free"])
-        return F.struct(free.alias("free"), (state["tp"] + hit.cast("int")).alias("tp"))
-
-    start = F.struct(references.alias("free"), F.lit(0).alias("tp"))
-    tp = F.aggregate(predictions, start, step, lambda s: s["tp"])
-    fp, fn = F.size(predictions) - tp, F.size(references) - tp
-    precision, recall = F.when(F.size(predictions) > 0, tp / F.size(predictions)).otherwise(0.0), F.when(F.size(references) > 0, tp / F.size(references)).otherwise(0.0)
+        scored = F.transform(state["free"], lambda i: F.struct(g.iou(F.get(references, i), p).alias("iou"), (-i).alias("i")))
+        hits = F.filter(F.array(F.array_max(scored)), lambda b: (b["iou"] > 0) & (b["iou"] >= threshold))
+        taken = F.transform(hits, lambda b: -b["i"])
+        return F.struct(F.array_except(state["free"], taken).alias("free"), (state["tp"] + F.size(taken)).alias("tp"))
+
+    places = F.when(F.size(references) > 0, F.sequence(F.lit(0), F.size(references) - 1)).otherwise(F.array().cast("array<int>"))
+    tp = F.aggregate(predictions, F.struct(places.alias("free"), F.lit(0).alias("tp")), step, lambda s: s["tp"])
+    return F.struct(*(c.alias(k) for k, c in _found(tp, F.size(references), F.size(predictions)).items()))
+
+
+def _found(tp: Column, references: Column, predictions: Column) -> dict[str, Column]:
+    precision, recall = F.when(predictions > 0, tp / predictions).otherwise(0.0), F.when(references > 0, tp / references).otherwise(0.0)
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return F.struct(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+    return {"tp": tp, "fp": predictions - tp, "fn": references - tp, "precision": precision, "recall": recall, "f1": f1}
+
+
+_SIDES = ("reference", "prediction")
+_CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def _greedy(r: np.ndarray, p: np.ndarray, threshold: float) -> np.ndarray:
+    """Matches of each of some groups of one size: boxes are groups x places x corners, nan where there is none."""
+    free, tp, each = ~np.isnan(r[:, :, 0]), np.zeros(len(r), np.int32), np.arange(len(r))
+    area = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+    whole = area(r)
+    for k in range(p.shape[1]):
+        b = p[:, k, None]
+        wide, high = (np.minimum(r[:, :, c + 2], b[..., c + 2]) - np.maximum(r[:, :, c], b[..., c]) for c in (0, 1))
+        shared = np.where((wide > 0) & (high > 0), wide * high, 0.0)
+        total = whole + area(b) - shared
+        iou = np.where(free & (shared > 0) & (total > 0), shared / np.where(total > 0, total, 1.0), 0.0)
+        best = iou.argmax(1)  # the first of equal ones
+        most = iou[each, best]
+        hit = (most > 0) & (most >= threshold)
+        free[each[hit], best[hit]] = False
+        tp += hit
+    return tp
+
+
+def detections(rows: DataFrame, *order: str, threshold: float = 0.5, **made: Callable[[Column, Column], Column]) -> DataFrame:
+    """``id`` and what ``detection`` finds, for rows of ``id``, ``reference`` and ``prediction``: boxes of one place each, or null.
+
+    Rows are ordered within their id; ``prediction`` may be given as a function of the reference and its place from 0.
+    Groups of one size are matched together, so that a group costs no more than its boxes.
+    """
+    by = Window.partitionBy("id").orderBy(*order)  # leaves the rows of an id together and in order
+    placed = rows.withColumn("_at", F.row_number().over(by) - 1)
+    placed = placed.withColumns({k: f(F.col("reference"), F.col("_at")) for k, f in made.items()})
+    # the place goes along, as a window whose column nobody reads is left out, and its order with it
+    flat = placed.select("id", "_at", *(F.col(s)[c].alias(s + c) for s in _SIDES for c in _CORNERS))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            if b.num_rows:
+                table = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+                ids = table["id"].combine_chunks()
+                last = _starts(ids)[-1]  # its id may go on in the next batch
+                if last:
+                    yield matched(table.slice(0, last))
+                rest = table.slice(last)
+        if rest is not None:
+            yield matched(rest)
+
+    def matched(table: pa.Table) -> pa.RecordBatch:
+        ids = table["id"].combine_chunks()
+        starts = _starts(ids)
+        sizes = np.diff(np.append(starts, len(ids)))
+        r, p = (np.stack([table[s + c].to_numpy() for c in _CORNERS], 1) for s in _SIDES)
+        tp, counts = np.zeros(len(starts), np.int32), [np.add.reduceat(~np.isnan(x[:, 0]), starts, dtype=np.int32) for x in (r, p)]
+        for n in np.unique(sizes):
+            some = np.flatnonzero(sizes == n)
+            at = starts[some][:, None] + np.arange(n)
+            tp[some] = _greedy(r[at], p[at], threshold)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), *map(pa.array, (tp, *counts))], names=["id", "tp", "references", "predictions"])
+
+    out = flat.mapInArrow(run, f"id {kind}, tp int, references int, predictions int")
+    return out.select("id", *(c.alias(k) for k, c in _found(F.col("tp"), F.col("references"), F.col("predictions")).items()))
+
+
+def _starts(ids: pa.Array) -> np.ndarray:
+    """Where runs of one id begin; nulls are one id."""
+    codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
 
 
 def last_of_each(references: DataFrame, *order: Column) -> DataFrame:

@@ -50,3 +50,30 @@ def test_drawn_pictures_leave_in_parts(monkeypatch):
     b = pa.RecordBatch.from_pydict({"width": [10, 10, None, 50, 10], "height": [10, 10, 10, 50, 10]})
     monkeypatch.setattr(imaging, "PART_PIXELS", 200)
     assert [p.num_rows for p in imaging._few(b)] == [3, 1, 1] and list(imaging._few(b.slice(0, 0))) == []
+
+
+def test_detections_of_rows_against_the_column(spark):
+    rng = random.Random(7)
+    box = lambda: (lambda x, y: (x, y, x + rng.randint(5, 9), y + rng.randint(5, 9)))(*(float(rng.randint(0, 9)) for _ in "xy"))
+    groups = [([box() for _ in range(rng.randint(0, 12))], [box() for _ in range(rng.randint(0, 12))]) for _ in range(60)] + [([(0.0, 0.0, 4.0, 4.0)] * 3, [(0.0, 0.0, 4.0, 4.0)] * 4)]
+    groups = [x for x in groups if x[0] or x[1]]
+    at = lambda x, k: x[k] if k < len(x) else None
+    rows = spark.createDataFrame([(i, k, at(r, k), at(p, k)) for i, (r, p) in enumerate(groups) for k in range(max(len(r), len(p)))], f"id int, k int, reference {g.BOX}, prediction {g.BOX}")
+    whole = spark.createDataFrame([(i, r, p) for i, (r, p) in enumerate(groups)], f"id int, r array<{g.BOX}>, p array<{g.BOX}>")
+    want = sorted(whole.select("id", evaluation.detection(F.col("r"), F.col("p"), 0.3).alias("d")).select("id", "d.*").collect())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in (before, "5"):  # groups that go over the ends of batches
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            assert sorted(evaluation.detections(rows, "k", threshold=0.3).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert evaluation.detections(rows.limit(0), "k").count() == 0
+
+
+def test_detection_query_against_the_column(spark, data):
+    boxes = plans._boxes(spark, data).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "box"))), lambda x: x["box"]).alias("b"))
+    found = boxes.select("l_orderkey", evaluation.detection(F.col("b"), F.transform("b", lambda b, i: g.translate(b, 8.0 * i, 0))).alias("d")).select("l_orderkey", "d.*")
+    made = plans.eval_detection(spark, data)
+    assert made.columns == found.columns and sorted(made.collect()) == sorted(found.collect())
+    assert "aggregate(" not in plan(made)
