@@ -77,3 +77,11 @@ def test_detection_query_against_the_column(spark, data):
     made = plans.eval_detection(spark, data)
     assert made.columns == found.columns and sorted(made.collect()) == sorted(found.collect())
     assert "aggregate(" not in plan(made)
+
+
+def test_documents_are_built_a_few_at_a_time(monkeypatch):
+    seen = []
+    monkeypatch.setattr(content, "AT_ONCE", 2)
+    for p in content.parts(iter([pa.RecordBatch.from_pydict({"k": list(range(5))})])):
+        seen.append(p["k"].to_pylist())
+    assert seen == [[0, 1], [2, 3], [4]]
