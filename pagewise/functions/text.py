@@ -19,6 +19,10 @@ LATIN = r"A-Za-zÀ-ɏ"
 MARKS = r"[ؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۨ-ۭ࣓-ࣿ]"
 #: White space as Unicode-aware splitting takes it.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+#: The same, one by one, and as a class of Java's that leaves letters after three comparisons.
+WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_W = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+_NO_W = f"[^{_W}]"
 DIGITS = {"western": "0123456789", "arabic_indic": "٠١٢٣٤٥٦٧٨٩", "eastern": "۰۱۲۳۴۵۶۷۸۹"}
 _ALL_DIGITS = "".join(DIGITS.values())
 
@@ -74,13 +78,13 @@ def numerals(text: Column, system: str) -> Column:
 
 
 def strip_white(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def collapse_white(text: Column, keep_line_breaks: bool = False) -> Column:
     """Runs of white space become one space; with line breaks kept, lines are stripped and empty ones dropped."""
     if not keep_line_breaks:
-        return strip_white(F.regexp_replace(text, f"[{WHITE}]+", " "))
+        return strip_white(F.regexp_replace(text, f"{_W}+", " "))
     inner = WHITE.replace(r"\t-\r", r"\t\x0b-\r")
     parts = F.transform(F.split(F.regexp_replace(text, f"[{inner}]+", " "), "\n", -1), strip_white)
     return F.array_join(F.filter(parts, lambda x: x != ""), "\n")
@@ -142,7 +146,12 @@ def normalize(text: Column, policy: TextPolicy = TextPolicy()) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs without white space."""
-    return F.filter(F.split(text, f"[{WHITE}]+", -1), lambda x: x != "")
+    return F.filter(F.split(text, f"{_W}+", -1), lambda x: x != "")
+
+
+def has_tokens(text: Column, least: int) -> Column:
+    """Whether there are so many tokens at least; the text is read no further than that."""
+    return text.rlike(f"^{_W}*+(?:{_NO_W}++{_W}++){{{least - 1}}}{_NO_W}") if least > 0 else text.isNotNull()
 
 
 def sentences(text: Column, least_words: int = 3) -> Column:

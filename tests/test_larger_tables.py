@@ -85,3 +85,22 @@ def test_documents_are_built_a_few_at_a_time(monkeypatch):
     for p in content.parts(iter([pa.RecordBatch.from_pydict({"k": list(range(5))})])):
         seen.append(p["k"].to_pylist())
     assert seen == [[0, 1], [2, 3], [4]]
+
+
+def test_sentences_are_split_and_not_extracted(spark, data):
+    assert "regexp_extract_all" not in plan(plans.sentences(spark, data))
+    texts = ["", "a b c", " a  b c. d e f! g h؟ i j\r\nk l m\n\n", "no end of three words\r", "...", "a\x1cb\x1dc.", "﻿a b c؟", None]
+    df = spark.createDataFrame([(x,) for x in texts], "s string").select("s", t.sentences(F.col("s")).alias("three"), t.sentences(F.col("s"), 0).alias("any"), t.strip_white(F.col("s")).alias("bare"))
+    ends = ".!?؟۔،\n"
+    for r in df.collect():
+        if r.s is None:
+            assert r.three is None and r.any is None
+            continue
+        pieces, piece = [], ""
+        for c in r.s:
+            piece += c
+            if c in ends:
+                pieces, piece = [*pieces, piece], ""
+        pieces = [x.strip() for x in pieces + ([piece] if piece else [])]
+        assert r.any == pieces and r.three == [x for x in pieces if len(x.split()) >= 3] and r.bare == r.s.strip()
+    assert set(t.WHITE_CHARS) == {c for c in map(chr, range(0x110000)) if c.isspace()}
