@@ -5,25 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import collapse_white
 
 
 def wrap(text: Column, width: int, advance: float = 1.0) -> Column:
     """Greedy first fit of words into lines of so many units; longer words are cut, and nothing is lost."""
     most = max(1, int(width / advance))
-    pieces = F.flatten(
-        F.transform(tokens(text), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(w) - 1) / most).cast("int")), lambda i: F.substring(w, i * most + 1, F.lit(most))))
-    )
-    # one string grows, with breaks where lines end: an array of lines would be copied line by line for each word
-    state = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
-
-    def step(s: Column, w: Column) -> Column:
-        n = F.char_length(w)
-        fits = s["used"] + 1 + n <= most
-        gap = F.when(s["used"] == 0, "").when(fits, " ").otherwise("\n")
-        return F.struct(F.concat(s["text"], gap, w).alias("text"), F.when((s["used"] > 0) & fits, s["used"] + 1 + n).otherwise(n).alias("used"))
-
-    return F.aggregate(pieces, state, step, lambda s: F.when(s["text"] == "", F.array().cast("array<string>")).otherwise(F.split(s["text"], "\n", -1)))
+    # a line is as many characters as end where a word does, or those of a longer word; a break takes its space's place
+    broken = F.regexp_replace(collapse_white(text), rf"(?s)([^ ].{{0,{most - 1}}})(?: |\z)|([^ ]{{{most}}})", "$1$2\n")
+    return F.filter(F.split(broken, "\n", -1), lambda x: x != "")
 
 
 def fit(lines: Column, height: float, line_height: float) -> Column:

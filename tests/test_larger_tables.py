@@ -104,3 +104,22 @@ def test_sentences_are_split_and_not_extracted(spark, data):
         pieces = [x.strip() for x in pieces + ([piece] if piece else [])]
         assert r.any == pieces and r.three == [x for x in pieces if len(x.split()) >= 3] and r.bare == r.s.strip()
     assert set(t.WHITE_CHARS) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+
+
+def test_wrapping_reads_a_text_once(spark):
+    rng = random.Random(3)
+    texts = ["", " 　\n", "x" * 24, "x" * 25 + " y", "a b\x85c \U0001f600" + "\U0001f600" * 30, " ".join("é" * rng.randint(1, 30) for _ in range(2000)), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string").select("k", layout.wrap(F.col("s"), 12).alias("lines"), layout.wrap(F.col("s"), 1).alias("letters"))
+    assert "aggregate(" not in plan(df)
+    for r in df.collect():
+        if texts[r.k] is None:
+            assert r.lines is None
+            continue
+        want, line = [], ""
+        for w in (w[i : i + 12] for w in texts[r.k].split() for i in range(0, len(w), 12)):
+            if line and len(line) + 1 + len(w) <= 12:
+                line += " " + w
+            else:
+                want += [line] if line else []
+                line = w
+        assert r.lines == want + ([line] if line else []) and r.letters == list("".join(texts[r.k].split()))
