@@ -123,3 +123,8 @@ def test_wrapping_reads_a_text_once(spark):
                 want += [line] if line else []
                 line = w
         assert r.lines == want + ([line] if line else []) and r.letters == list("".join(texts[r.k].split()))
+
+
+def test_a_page_is_judged_once(spark, data):
+    for name in ("gate_verdicts", "gate_reject_rate", "gate_failures"):
+        assert plan(plans.queries()[name](spark, data)).count("aggregate(") == 1, name
