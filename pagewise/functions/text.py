@@ -106,11 +106,28 @@ def vocalisation(text: Column) -> Column:
     return F.when(ratio <= 0.01, "none").when(ratio < 0.35, "partial").when(ratio.isNotNull(), "full")
 
 
+#: Texts that are Python objects at once, and their bytes; one at least.
+FORMED_ROWS, FORMED_BYTES = 256, 1 << 20
+
+
+def _formed(texts: pa.Array, form: str) -> pa.Array:
+    wide = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)  # ASCII is in every form
+    given = texts.filter(wide).to_pylist()
+    if all(unicodedata.is_normalized(form, x) for x in given):
+        return texts
+    return pc.replace_with_mask(texts, wide, pa.array([unicodedata.normalize(form, x) for x in given], texts.type))
+
+
 def _in_form(form: str):
     def run(texts: pa.Array) -> pa.Array:
-        wide = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)  # ASCII is in every form
-        made = [unicodedata.normalize(form, x) for x in texts.filter(wide).to_pylist()]
-        return pc.replace_with_mask(texts, wide, pa.array(made, texts.type)) if made else texts
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts).cast("int64"), 0)).to_numpy(zero_copy_only=False)
+        out, start = [], 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            stop = min(start + FORMED_ROWS, max(start + 1, int(ends.searchsorted(before + FORMED_BYTES, side="right"))), len(texts))
+            out.append(_formed(texts.slice(start, stop - start), form))
+            start = stop
+        return pa.concat_arrays(out) if len(out) > 1 else out[0] if out else texts
 
     return F.arrow_udf(run, "string")
 

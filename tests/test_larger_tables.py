@@ -128,3 +128,15 @@ def test_wrapping_reads_a_text_once(spark):
 def test_a_page_is_judged_once(spark, data):
     for name in ("gate_verdicts", "gate_reject_rate", "gate_failures"):
         assert plan(plans.queries()[name](spark, data)).count("aggregate(") == 1, name
+
+
+def test_forms_are_made_of_few_texts_at_a_time(monkeypatch):
+    sizes, formed = [], t._formed
+    monkeypatch.setattr(t, "_formed", lambda x, form: sizes.append(len(x)) or formed(x, form))
+    texts = ["é" * 100, None, "plain", "é"] * 400 + ["é" * 400_000, "", "ö"]
+    made = t._in_form("NFC").func(pa.array(texts))
+    import unicodedata
+
+    assert made.to_pylist() == [x and unicodedata.normalize("NFC", x) for x in texts]
+    assert max(sizes) <= t.FORMED_ROWS and 1 in sizes and sum(sizes) == len(texts)
+    assert t._in_form("NFC").func(pa.array([], "string")).to_pylist() == []
