@@ -37,6 +37,26 @@ def visual_order(words: DataFrame, base: str = "base") -> DataFrame:
     return found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(run_key, word_key)))
 
 
+def visual_places(lines: DataFrame, base: str = "base") -> DataFrame:
+    """``places`` of the words of each line (directions, an array of rtl, ltr or null, and base), as ``visual_order`` has them; no row leaves its task."""
+    code = F.array_join(F.transform("directions", lambda x: F.when(x == "rtl", "r").when(x == "ltr", "l").otherwise("n")), "")
+    found = lines.withColumn("_way", F.concat(F.when(F.col(base) == "rtl", "r").otherwise("l"), code))  # the base stands before the first word
+    for way in "rl":  # words without direction go on with the run before them
+        found = found.withColumn("_way", F.regexp_replace("_way", rf"(?:(?<={way})|(?!^)\G)n", way))
+    found = found.withColumn("_way", F.split(F.substring(F.col("_way"), F.lit(2), F.size("directions")), "", -1)).withColumn("_n", F.size("directions"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("_way", i) != F.get("_way", i - 1)))
+    found = found.withColumn("_starts", F.when(F.col("_n") > 0, starts).otherwise(F.array().cast("array<int>")))
+
+    def places(start, k):
+        end = F.coalesce(F.get("_starts", k + 1), F.col("_n"))
+        turned, back = F.get("_way", start) == "r", F.col(base) == "rtl"
+        first = F.when(back & turned, F.col("_n") - start).when(back, F.col("_n") - end + 1).when(turned, end).otherwise(start + 1)
+        last = F.when(back & turned, F.col("_n") - end + 1).when(back, F.col("_n") - start).when(turned, start + 1).otherwise(end)
+        return F.sequence(first, last)
+
+    return found.withColumn("places", F.flatten(F.transform("_starts", places))).drop("_way", "_n", "_starts")
+
+
 def failure_streaks(outcomes: DataFrame, *by: str) -> DataFrame:
     """The longest run of failures (``failed``, in the order of ``pos``) of each group."""
     w = Window.partitionBy(*by).orderBy("pos")

@@ -140,3 +140,13 @@ def test_forms_are_made_of_few_texts_at_a_time(monkeypatch):
     assert made.to_pylist() == [x and unicodedata.normalize("NFC", x) for x in texts]
     assert max(sizes) <= t.FORMED_ROWS and 1 in sizes and sum(sizes) == len(texts)
     assert t._in_form("NFC").func(pa.array([], "string")).to_pylist() == []
+
+
+def test_places_of_words_without_a_shuffle(spark, data):
+    rng = random.Random(5)
+    lines = [(i, [rng.choice(["rtl", "ltr", None]) for _ in range(n)], base) for i, (n, base) in enumerate((n, b) for n in (0, 1, 2, 3, 8, 40) for b in ("rtl", "ltr") for _ in range(4))]
+    df = spark.createDataFrame(lines, "id int, directions array<string>, base string")
+    words = df.select("id", "base", F.posexplode("directions").alias("pos", "direction"))
+    want = {(r.id, r.pos): r.place for r in layout.visual_order(words).collect()}
+    assert {(r.id, k): p for r in layout.visual_places(df).collect() for k, p in enumerate(r.places)} == want
+    assert "Window" not in plan(plans.bidi_order_all(spark, data))
