@@ -150,3 +150,14 @@ def test_places_of_words_without_a_shuffle(spark, data):
     want = {(r.id, r.pos): r.place for r in layout.visual_order(words).collect()}
     assert {(r.id, k): p for r in layout.visual_places(df).collect() for k, p in enumerate(r.places)} == want
     assert "Window" not in plan(plans.bidi_order_all(spark, data))
+
+
+def test_the_values_of_a_gate_stay_in_its_report(spark, data):
+    report = plans._gated(spark, data).select("report.*").collect()
+    failed = [r for r in report if not r.passed]
+    assert failed and len(failed) < len(report) and all(len(r.failures) == 1 and r.failures[0].passed is False and r.failures[0].value is not None for r in failed)
+    odd = spark.createDataFrame([("a" * 8,), ("a bcdefg",), ("a b",), (" " * 9,), (None,)], "s string")
+    from pagewise.operators import quality
+
+    got = [r[0] for r in odd.select(quality.non_empty_text(F.col("s"))).collect()]
+    assert [(r.passed, r.value) for r in got] == [(False, 8), (True, 8), (False, 3), (False, 0), (False, 0)]
