@@ -173,9 +173,9 @@ def has_tokens(text: Column, least: int) -> Column:
 
 def sentences(text: Column, least_words: int = 3) -> Column:
     """Pieces up to a full stop, mark or line break, stripped, of so many words at least."""
-    ends = r".!?؟۔،\n"
-    cut = F.transform(F.regexp_extract_all(text, F.lit(f"[^{ends}]*[{ends}]|[^{ends}]+$"), F.lit(0)), strip_white)
-    return F.filter(cut, lambda s: F.size(tokens(s)) >= least_words)
+    # a split reads the text once; to extract all matches copies it for each of them
+    pieces = F.filter(F.split(text, r"(?<=[.!?؟۔،\n])", -1), lambda s: s != "")
+    return F.filter(F.transform(pieces, strip_white), lambda s: has_tokens(s, least_words))
 
 
 def escape_markup(text: Column) -> Column:
@@ -199,8 +199,10 @@ def strip_marks_partly(text: Column, keep: Column | float, seed: Column) -> Colu
     """Each mark stays with probability ``keep``; nothing else changes."""
     keep = F.lit(keep) if isinstance(keep, (int, float)) else keep
     chars = F.split(text, "", -1)
-    stays = F.filter(chars, lambda c, i: ~c.rlike(MARKS) | (uniform(seed, i) < keep))
-    return F.when(keep >= 1, text).when(keep <= 0, strip_marks(text)).otherwise(F.array_join(stays, ""))
+    # most characters are told from marks by their place; the pattern is for the rest
+    plain = lambda c: (c < "\u0610") | ((c > "\u061a") & (c < "\u064b")) | ~c.rlike(MARKS)
+    stays = F.filter(chars, lambda c, i: plain(c) | (uniform(seed, i) < keep))
+    return F.when((keep >= 1) | ~text.rlike(MARKS), text).when(keep <= 0, strip_marks(text)).otherwise(F.array_join(stays, ""))
 
 
 @dataclass(frozen=True)

@@ -161,3 +161,11 @@ def test_the_values_of_a_gate_stay_in_its_report(spark, data):
 
     got = [r[0] for r in odd.select(quality.non_empty_text(F.col("s"))).collect()]
     assert [(r.passed, r.value) for r in got] == [(False, 8), (True, 8), (False, 3), (False, 0), (False, 0)]
+
+
+def test_marks_are_told_by_their_place_first(spark):
+    every = "".join(chr(c) for c in [*range(0x5F0, 0x720), *range(0x8C0, 0x910), 0x41, 0x1F600, 0x10A00])
+    df = spark.createDataFrame([(every,), ("no marks",), ("",), (None,)], "s string")
+    made = df.select(t.strip_marks_partly(F.col("s"), F.lit(1e-12), F.lit(3)).alias("kept"), t.strip_marks(F.col("s")).alias("stripped"))
+    assert [r.kept for r in made.collect()] == [r.stripped for r in made.collect()]
+    assert "< ؐ" in plan(made)
