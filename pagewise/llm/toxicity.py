@@ -2,12 +2,13 @@
 
 Labels exist for documents only, so labelled tokens are made first: in documents labelled toxic, a token is taken
 as toxic where its word or a beginning of it is found in many of those documents and in next to none of the clean
-ones. The field (two labels, features: word, first four and first five bytes) is fitted to these tokens on the
-driver, on a sample bounded by ``max_toxic`` and ``max_clean`` documents of at most ``max_chars`` characters each. The
-score from which a document is toxic is calibrated on documents held out: each half of the sample is scored by a field
-fitted to the other. Scoring needs no shuffle: one pass over the scan runs the exact forward-backward recursion on
-whole texts. A document's score is the sum, over its different words, of their largest marginals, where these are
-``LEAST_MARGINAL`` or more: what is less says nothing, and would add up in a long text.
+ones. The field (two labels, features: word, first four and first five bytes) is fitted to these tokens in one task,
+on a sample bounded by ``max_toxic`` and ``max_clean`` documents of at most ``max_chars`` characters each; the driver
+receives no text, only the field. The score from which a document is toxic is calibrated on documents held out: each
+half of the sample is scored by a field fitted to the other. Scoring needs no shuffle: one pass over the scan runs the
+exact forward-backward recursion on whole texts. A document's score is the sum, over its different words, of their
+largest marginals, where these are ``LEAST_MARGINAL`` or more: what is less says nothing, and would add up in a long
+text.
 
 Defined results: a null or empty text has score 0, no spans and is clean; every input row gives one output row,
 repeated rows too; a null id stays null; without labelled documents of both kinds nothing is toxic; offsets count
@@ -16,6 +17,7 @@ code points of the text; extra columns play no part.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -264,26 +266,33 @@ def _fit(texts: list[str], y_doc: np.ndarray, rounds: int, rate: float, decay: f
     pair = 2 * y[later - 1].astype(int) + y[later]
     seen_move = np.bincount(pair, minlength=4).astype(float)
     seen_begin = float(y[first].sum())
-    held = [np.bincount(f[k], weights=y, minlength=3 * SIZE + 1) for k in range(3)]
-    empirical = np.concatenate([sum(held), [y.sum(), seen_begin], seen_move])
+    del w, keys
+    slots = np.flatnonzero(np.bincount(f.ravel(), minlength=3 * SIZE + 1)[:-1])  # the weights of all others stay 0
+    n, place = len(slots), np.full(3 * SIZE + 1, len(slots))
+    place[slots] = np.arange(n)
+    f, mute = place[f], mute[slots]
+    empirical = np.concatenate([sum(np.bincount(f[k], weights=y, minlength=n + 1) for k in range(3)), [y.sum(), seen_begin], seen_move])
     theta, m, v = np.zeros(len(empirical)), np.zeros(len(empirical)), np.zeros(len(empirical))
     theta[-6] = -3.0
     for step in range(1, rounds + 1):
-        weight, bias, begin, move = theta[: 3 * SIZE + 1], theta[-6], theta[-5], theta[-4:].reshape(2, 2)
+        weight, bias, begin, move = theta[: n + 1], theta[-6], theta[-5], theta[-4:].reshape(2, 2)
         e = emissions(f, weight, bias)
         fw, bw = forward_backward(e, first, begin, move)
         p = fw * bw / (1.0 + fw * bw)
         E, T = np.exp(np.clip(e[later], -40, 40)), np.exp(move)
         r, q = fw[later - 1], bw[later]
         cell = np.stack([np.full(len(later), T[0, 0]), T[0, 1] * E * q, r * T[1, 0], r * T[1, 1] * E * q])
-        expected = np.concatenate([sum(np.bincount(f[k], weights=p, minlength=3 * SIZE + 1) for k in range(3)), [p.sum(), p[first].sum()], (cell / cell.sum(0)).sum(1)])
+        cell /= cell.sum(0)
+        expected = np.concatenate([sum(np.bincount(f[k], weights=p, minlength=n + 1) for k in range(3)), [p.sum(), p[first].sum()], cell.sum(1)])
         grad = empirical - expected - decay * theta
-        grad[3 * SIZE] = 0.0
+        grad[n] = 0.0
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += rate / np.sqrt(step) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        theta[3 * SIZE] = 0.0
-        theta[: 3 * SIZE + 1][mute] = np.minimum(theta[: 3 * SIZE + 1][mute], 0.0)
-    return Field(theta[: 3 * SIZE + 1].astype(np.float32), float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2).copy(), 0.5, known)
+        theta[n] = 0.0
+        theta[:n][mute] = np.minimum(theta[:n][mute], 0.0)
+    weight = np.zeros(3 * SIZE + 1, np.float32)
+    weight[slots] = theta[:n]
+    return Field(weight, float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2).copy(), 0.5, known)
 
 
 def _threshold(score: np.ndarray, toxic: np.ndarray) -> float:
@@ -302,12 +311,16 @@ def train(documents: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, m
     part = lambda kind, n: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = part(1, max_toxic).unionByName(part(0, max_clean))
     texts = documents.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(sample), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    field = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
-    del rows
-    release()
-    return field
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = sorted((r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
+        fitted = pickle.dumps(fit([x for _, x, _ in drawn], [x for _, _, x in drawn]))
+        release()
+        yield pa.RecordBatch.from_pydict({"field": pa.array([fitted], pa.binary())})
+
+    made = rows.repartition(1).mapInArrow(run, "field binary").collect()
+    return pickle.loads(bytes(made[0]["field"])) if made else None
 
 
 def _spans(w: tb.Words, p: np.ndarray, least: float) -> tuple[np.ndarray, pa.Array]:

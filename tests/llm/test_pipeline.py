@@ -1,8 +1,12 @@
+import tracemalloc
+
 import corpus_pipeline
 import pyarrow as pa
 from pagewise.llm import leaks, nearcopies, textbatch as tb, toxicity
 from pagewise.llm.shared import table
 
+from .cases import documents, prose
+
 
 def test_pipeline_is_its_stages_by_brute_force(spark, data):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near copies", "decontamination", "byte-level bpe"]
@@ -39,3 +43,16 @@ def test_pipeline_with_an_empty_table(spark, data, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, data, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_driver_fits_nothing(spark):
+    bad = ["vilex", "krumbo", "snarfy"]
+    docs = documents(spark, [(i, prose(i, 60) + (" " + " ".join(f"{prose(i * 31 + k, 2)} {w}" for k, w in enumerate(bad)) if i % 4 == 0 else "")) for i in range(120)])
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    tracemalloc.start()
+    try:
+        field = toxicity.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert field.weight.shape == (3 * toxicity.SIZE + 1,) and field.weight.any() and peak < 8 * field.weight.nbytes
